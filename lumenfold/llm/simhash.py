@@ -1,15 +1,16 @@
 """SimHash near-duplicates by multi-index hashing.
 
-A document's fingerprint is the bitwise majority of its shingles' XXH64.  Fingerprints of at most three differing bits
-link.  Each is cut into two 32-bit segments; of two that link, one segment differs in one bit at most.  So the index
-holds each segment's value, and a fingerprint probes the ball of radius one around each of its segments: its own value,
-and its value with one set bit cleared (of two values one bit apart, one has that bit set, so one direction is enough).
-A join fetches the matches, and the complete distance decides.
+A document's fingerprint is the bitwise majority of its shingles' XXH64.  It is cut into m segments; of two that differ
+in 2m - 1 bits at most, one segment differs in one bit at most.  So the index holds each segment's value, and a
+fingerprint probes the ball of radius one around each of its segments: its own value, and its value with one set bit
+cleared (of two values one bit apart, one has that bit set, so one direction is enough).  A join fetches the matches,
+and the complete distance decides.
 
 Only distinct fingerprints take part, so exact copies cost one aggregation.  A segment value that more than ``hot``
-fingerprints share isn't joined with itself.  Its members are cut once more by 16-bit blocks of their other half, again
-with balls of radius one; such a group shares 48 bits but for two, so its size has a bound that doesn't depend on the
-input.  It is labelled in place, by blocks of distances, and gives one edge for each member instead of one for each pair.
+fingerprints share isn't joined with itself.  Its members are cut once more by parts of their other bits, again with
+balls of radius one; with two segments such a group shares 48 bits but for two, so its size has a bound that doesn't
+depend on the input.  It is labelled in place, by blocks of distances, and gives one edge for each member instead of
+one for each pair.
 
 Components come from alternating large-star and small-star steps, each of them a join and an aggregation, cut by
 written tables.
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import save
@@ -33,19 +34,31 @@ from .common import save
 LOWER = bytes(range(256)).lower()
 
 
-def fingerprint(text: str | None, width: int = 3, seed: int = 42, block: int = 65_536) -> int:
-    """Signed 64-bit fingerprint of the whole text's word shingles."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
+def majority(words: list[bytes], width: int, seeds: tuple[int, ...], once: bool = False, block: int = 65_536) -> np.ndarray:
+    """A 64-bit SimHash of all word shingles for each seed; ``once`` counts a shingle that repeats once."""
     if not words:
-        return 0
-    n = max(1, len(words) - width + 1)
-    ones, digest = np.zeros(64, np.int64), xxhash.xxh64_intdigest
-    for at in range(0, n, block):
+        return np.zeros(len(seeds), "<i8")
+    n, ones, digest, seen = 0, np.zeros((len(seeds), 64), np.int64), xxhash.xxh64_intdigest, set()
+    for at in range(0, max(1, len(words) - width + 1), block):
         own = words[at : at + block + width - 1]
-        grams = map(b" ".join, zip(*(own[k:] for k in range(width)))) if len(words) >= width else [b" ".join(own)]
-        hashes = np.fromiter((digest(g, seed) for g in grams), "<u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
+        grams = own if width == 1 else [b" ".join(own)] if len(words) < width else list(map(b" ".join, zip(*(own[k:] for k in range(width)))))
+        if once:
+            grams = set(grams) - seen
+            seen |= grams
+        n += len(grams)
+        for k, seed in enumerate(seeds):
+            hashes = np.fromiter((digest(g, seed) for g in grams), "<u8", len(grams))
+            ones[k] += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > n, axis=1, bitorder="little").view("<i8")[:, 0]
+
+
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
+
+
+def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
+    """Signed 64-bit fingerprint of the whole text's word shingles."""
+    return int(majority(words_of(text), width, (seed,))[0])
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -55,7 +68,11 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(t.as_py(), width) for t in batch.column(1)], pa.int64())], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return _id_text(docs).mapInArrow(run, "doc_id long, fp long")
+
+
+def _id_text(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def _cleared(value: str, bits: int) -> str:
@@ -63,62 +80,93 @@ def _cleared(value: str, bits: int) -> str:
     return f"transform(filter(sequence(0, {bits - 1}), b -> getbit({value}, b) = 1), b -> {value} ^ shiftleft(1L, b))"
 
 
-def _segments(distinct: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Index rows (seg, key, fp), and probe rows of the same columns."""
-    cut = distinct.selectExpr("fp", "shiftrightunsigned(fp, 32) AS high", "fp & 4294967295L AS low")
-    index = cut.selectExpr("stack(2, 0, high, 1, low) AS (seg, key)", "fp")
-    probes = cut.selectExpr("fp", "0 AS seg", f"explode({_cleared('high', 32)}) AS key").unionByName(cut.selectExpr("fp", "1 AS seg", f"explode({_cleared('low', 32)}) AS key"))
-    return index, probes.select("seg", "key", "fp")
+def _segments(nodes: DataFrame, segments: int) -> tuple[DataFrame, DataFrame]:
+    """Index rows (seg, key, node, fp), and probe rows of the same columns."""
+    bits = _bounds(64, segments)
+    cut = nodes.select("node", "fp", *(F.expr(f"shiftrightunsigned(fp, {a}) & {(1 << n) - 1}L").alias(f"s{k}") for k, (a, n) in enumerate(bits)))
+    index = cut.selectExpr(f"stack({segments}, {', '.join(f'{k}, s{k}' for k in range(segments))}) AS (seg, key)", "node", "fp")
+    cleared = [f"transform({_cleared(f's{k}', n)}, x -> named_struct('seg', {k}, 'key', x))" for k, (_, n) in enumerate(bits)]
+    probes = cut.selectExpr(f"inline(concat({', '.join(cleared)}))", "node", "fp")
+    return index, probes
+
 
+def _bounds(bits: int, parts: int) -> list[tuple[int, int]]:
+    """(first bit, bits) of each of so many nearly equal parts."""
+    edges = [bits * k // parts for k in range(parts + 1)]
+    return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
-def links(distinct: DataFrame, radius: int = 3, hot: int = 256) -> DataFrame:
-    """Edges (u, v) between distinct fingerprints (column fp) at ``radius`` or less: every link of an ordinary segment
-    value; for a hot one, edges that connect what its links connect."""
-    if not 0 <= radius <= 3:
-        raise ValueError("two segments and balls of radius one find up to three differing bits")
-    index, probes = _segments(distinct)
-    near = F.expr(f"bit_count(u ^ v) <= {radius}")
+
+def links(nodes: DataFrame, segments: int = 2, radius: int = 3, hot: int = 256, proof: DataFrame | None = None, limit: int = 0) -> DataFrame:
+    """Edges (u, v) between distinct nodes (columns node, fp) whose fingerprints differ in ``radius`` bits or less and,
+    with ``proof`` (columns node, proof: longs of a longer fingerprint), whose proofs differ in ``limit`` bits or less.
+
+    Every such link of an ordinary segment value is an edge; for a hot one, edges connect what its links connect."""
+    if not 0 <= radius <= 2 * segments - 1:
+        raise ValueError(f"{segments} segments and balls of radius one find up to {2 * segments - 1} differing bits")
+    index, probes = _segments(nodes, segments)
     crowded = save(index.groupBy("seg", "key").count().where(F.col("count") > hot).select("seg", "key"), "crowded")
-    if crowded.isEmpty():
-        calm, asked, dense = index, probes, None
+    dense = None
+    if not crowded.isEmpty():
+        members = index.unionByName(probes).join(crowded, ["seg", "key"])
+        dense = _dense(members, segments, radius, proof, limit)
+        index, probes = (x.join(crowded, ["seg", "key"], "left_anti") for x in (index, probes))
+    a, b = index.select("seg", "key", F.col("node").alias("u"), F.col("fp").alias("fu")), lambda x: x.select("seg", "key", F.col("node").alias("v"), F.col("fp").alias("fv"))
+    near = F.expr(f"u <> v AND bit_count(fu ^ fv) <= {radius}")
+    same = a.join(b(index), ["seg", "key"]).where(F.expr("u < v") & near)
+    apart = a.join(b(probes), ["seg", "key"]).where(near)
+    edges = same.select("u", "v").unionByName(apart.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))).distinct()
+    if proof is not None:
+        edges = save(edges, "candidates")
+        for end in ("u", "v"):
+            edges = edges.join(proof.select(F.col("node").alias(end), F.col("proof").alias(f"p{end}")), end)
+        edges = edges.where(_differing("pu", "pv") <= limit).select("u", "v")
+    return edges if dense is None else edges.unionByName(dense).distinct()
+
+
+def _differing(a: str, b: str) -> Column:
+    """Differing bits of two arrays of longs."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+
+def _dense(members: DataFrame, segments: int, radius: int, proof: DataFrame | None, limit: int) -> DataFrame:
+    """Edges among the members (seg, key, node, fp) of hot segment values: they are cut once more, by parts of
+    the bits outside the segment, with balls of radius one around those too."""
+    if proof is not None:
+        members = members.join(proof, "node")
     else:
-        calm, asked = (x.join(crowded, ["seg", "key"], "left_anti") for x in (index, probes))
-        members = index.withColumn("exact", F.lit(True)).unionByName(probes.withColumn("exact", F.lit(False))).join(crowded, ["seg", "key"])
-        dense = _dense(members, radius)
-    a = calm.select("seg", "key", F.col("fp").alias("u"))
-    same = a.join(calm.select("seg", "key", F.col("fp").alias("v")), ["seg", "key"]).where(F.expr("u < v") & near)
-    apart = a.join(asked.select("seg", "key", F.col("fp").alias("v")), ["seg", "key"]).where(near)
-    edges = same.select("u", "v").unionByName(apart.select("u", "v"))
-    return (edges if dense is None else edges.unionByName(dense)).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-
-
-def _dense(members: DataFrame, radius: int) -> DataFrame:
-    """Edges among the members (seg, key, fp, exact) of hot segment values."""
-    other = members.selectExpr("seg", "key", "fp", "exact", "CASE WHEN seg = 0 THEN fp & 4294967295L ELSE shiftrightunsigned(fp, 32) END AS rest")
-    halves = other.selectExpr("seg", "key", "fp", "exact", "stack(2, 0, shiftright(rest, 16), 1, rest & 65535L) AS (part, value)")
-    own = halves.selectExpr("seg", "key", "part", "value", "fp", "exact", "true AS home")
-    ball = halves.selectExpr("seg", "key", "part", f"explode({_cleared('value', 16)}) AS value", "fp", "exact", "false AS home")
-    names = ["u", "v"]
+        members = members.withColumn("proof", F.array("fp"))
+        limit = radius
+    rest = 64 - 64 // segments
+    outside = " ".join(f"WHEN {k} THEN (fp & {(1 << a) - 1}L)" + (f" | shiftleft(shiftrightunsigned(fp, {a + n}), {a})" if a + n < 64 else "") for k, (a, n) in enumerate(_bounds(64, segments)))
+    own = members.withColumn("other", F.expr(f"CASE seg {outside} END"))
+    bits = _bounds(rest, segments)
+    cut = own.select("seg", "key", "node", "fp", "proof", *(F.expr(f"shiftrightunsigned(other, {a}) & {(1 << n) - 1}L").alias(f"s{k}") for k, (a, n) in enumerate(bits)))
+    home = cut.selectExpr("seg", "key", "node", "fp", "proof", f"stack({segments}, {', '.join(f'{k}, s{k}' for k in range(segments))}) AS (part, value)", "true AS home")
+    cleared = [f"transform({_cleared(f's{k}', n)}, x -> named_struct('part', {k}, 'value', x))" for k, (_, n) in enumerate(bits)]
+    ball = cut.selectExpr("seg", "key", "node", "fp", "proof", f"inline(concat({', '.join(cleared)}))", "false AS home")
 
     def connect(group: pa.Table) -> pa.Table:
-        fp = group.column("fp").to_numpy().view(np.uint64)
-        fp, first = np.unique(fp, return_index=True)
-        home = np.flatnonzero(group.column("home").to_numpy(zero_copy_only=False)[first])
-        label, moved, step = np.arange(len(fp)), len(home) > 0, max(1, 4_000_000 // max(1, len(home)))
+        node, first = np.unique(group.column("node").to_numpy(), return_index=True)
+        fp = group.column("fp").to_numpy()[first].view(np.uint64)
+        bits = np.concatenate([c.flatten().to_numpy() for c in group.column("proof").chunks]).reshape(len(group), -1)[first].view(np.uint64)
+        hub = np.zeros(len(node), bool)
+        np.logical_or.at(hub, np.searchsorted(node, group.column("node").to_numpy()), group.column("home").to_numpy(zero_copy_only=False))
+        hub = np.flatnonzero(hub)
+        label, moved, step = np.arange(len(node)), len(hub) > 0, max(1, 2_000_000 // max(1, len(hub)))
         while moved:
             was = label.copy()
-            for at in range(0, len(fp), step):
-                close = np.bitwise_count(fp[at : at + step, None] ^ fp[None, home]) <= radius
-                low = np.where(close, label[home][None, :], len(fp)).min(axis=1)
-                label[at : at + step] = np.minimum(label[at : at + step], low)
-                back = np.where(close, label[at : at + step, None], len(fp)).min(axis=0)
-                label[home] = np.minimum(label[home], back)
+            for at in range(0, len(node), step):
+                close = np.bitwise_count(fp[at : at + step, None] ^ fp[None, hub]) <= radius
+                far = sum(np.bitwise_count(bits[at : at + step, None, k] ^ bits[None, hub, k]).astype(np.int32) for k in range(bits.shape[1]))
+                close &= far <= limit
+                label[at : at + step] = np.minimum(label[at : at + step], np.where(close, label[hub][None, :], len(node)).min(axis=1))
+                label[hub] = np.minimum(label[hub], np.where(close, label[at : at + step, None], len(node)).min(axis=0))
             label = label[label]
             moved = (label != was).any()
-        far = np.flatnonzero(label != np.arange(len(fp)))
-        return pa.table([pa.array(fp[far].view(np.int64)), pa.array(fp[label[far]].view(np.int64))], names)
+        tied = np.flatnonzero(label != np.arange(len(node)))
+        return pa.table([pa.array(node[label[tied]]), pa.array(node[tied])], ["u", "v"])
 
-    return own.unionByName(ball).groupBy("seg", "key", "part", "value").applyInArrow(connect, "u long, v long")
+    return home.unionByName(ball).groupBy("seg", "key", "part", "value").applyInArrow(connect, "u long, v long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -146,21 +194,63 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, hot: int = 256) -> DataFrame:
     """(doc_id, fp, component_id) for each row: the smallest doc_id that links reach from it."""
-    marked = save(fingerprints(docs, width), "fingerprints")
-    distinct = save(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    found = components(links(distinct.select("fp"), radius, hot))
-    rooted = save(distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
+    marked = save(fingerprints(docs, width).withColumn("node", F.col("fp")), "fingerprints")
+    return name_groups(marked, lambda nodes: links(nodes.select("node", F.col("node").alias("fp")), (radius + 2) // 2, radius, hot)).select("doc_id", F.col("node").alias("fp"), "component_id")
+
+
+def name_groups(marked: DataFrame, link) -> DataFrame:
+    """(doc_id, node, component_id) for rows (doc_id, node), given the edges of the distinct nodes."""
+    distinct = save(marked.groupBy("node").agg(F.min("doc_id").alias("least")), "distinct")
+    found = components(link(distinct)).withColumnRenamed("node", "member")
+    rooted = save(distinct.join(found, F.col("node") == F.col("member"), "left").select("node", "least", F.coalesce("root", "node").alias("root")), "rooted")
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = save(rooted.join(named, "root").select("fp", "component_id"), "by_fp")
-    return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    by_node = save(rooted.join(named, "root").select("node", "component_id"), "by_node")
+    return marked.select("doc_id", "node").join(by_node, "node").select("doc_id", "node", "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
-    """The document with the smallest id of each group, with all columns.  Rows that repeat an id leave one; rows
-    without an id can't be told apart and all stay."""
-    found = save(near_duplicates(docs, width, radius), "duplicates")
+def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, tables: int = 3, segments: int = 3, proof_words: int = 8, slack: float = 0.6, hot: int = 64) -> DataFrame:
+    """(doc_id, node, component_id) by the similarity of the sets of ``width``-word shingles.
+
+    Copies of one text with a few words changed keep most of their words but fewer shingles, so the tables to look in
+    hold SimHashes of the set of words, one for each seed, and a longer SimHash of the shingles, ``proof_words`` times
+    64 bits, decides.  A similarity s of two sets of like size is a cosine of 2s / (1 + s), which turns the share
+    acos(cosine) / pi of the bits; the limit lies ``slack`` standard deviations above that.
+    """
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    bits = 64 * proof_words
+    limit = int(bits * share + slack * (bits * share * (1 - share)) ** 0.5)
+    fps = [f"f{k}" for k in range(tables)]
+    names = ["doc_id", *fps, "proof"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            look, sure = [], []
+            for text in batch.column(1):
+                words = words_of(text.as_py())
+                look.append(majority(words, 1, tuple(range(tables)), True))
+                sure.append(majority(words, width, tuple(range(100, 100 + proof_words)), True))
+            look = np.array(look)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(look[:, k]) for k in range(tables)), pa.array(sure, pa.list_(pa.int64()))], names)
+
+    marked = save(_id_text(docs).mapInArrow(run, f"doc_id long, {', '.join(f'{f} long' for f in fps)}, proof array<long>").withColumn("node", F.xxhash64("proof", *fps)), "fingerprints")
+    nodes = save(marked.groupBy("node").agg(*(F.first(f).alias(f) for f in [*fps, "proof"])), "nodes")
+
+    def link(_: DataFrame) -> DataFrame:
+        found = [links(nodes.select("node", F.col(f).alias("fp")), segments, 2 * segments - 1, hot, nodes.select("node", "proof"), limit) for f in fps]
+        out = found[0]
+        for x in found[1:]:
+            out = out.unionByName(x)
+        return out.distinct()
+
+    return name_groups(marked, link)
+
+
+def keep_one(docs: DataFrame, **how) -> DataFrame:
+    """The document with the smallest id of each group of ``similar``, with all columns.  Rows that repeat an id leave
+    one; rows without an id can't be told apart and all stay."""
+    found = save(similar(docs, **how), "duplicates")
     kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    out = docs.join(kept, "doc_id", "left_semi")
+    out = docs.join(kept, "doc_id", "left_semi").select(docs.columns)
     if not found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
         out = out.dropDuplicates(["doc_id"])
     return out.unionByName(docs.where("doc_id IS NULL")).select(docs.columns)
