@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, records, simhash
+from . import decontaminate, packing, records, simhash
 from .common import scratch, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -22,6 +22,10 @@ def op3_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.build_index(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -31,6 +35,7 @@ def queries() -> dict:
     return {
         "op2_best_fit_packing": op2_best_fit_packing,
         "op3_binary_records": op3_binary_records,
+        "op4_decontamination": op4_decontamination,
         "op9_simhash_dedup": op9_simhash_dedup,
     }
 
