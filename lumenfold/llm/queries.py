@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, packing, records, simhash
+from . import decontaminate, language, packing, quality, records, secrets, simhash
 from .common import fold_of, scratch, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -32,6 +32,17 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find(table(spark, sf_dir, "documents")))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), fold_of(F.col("doc_id"), 3) != 1)
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", (fold_of(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -43,6 +54,8 @@ def queries() -> dict:
         "op2_best_fit_packing": op2_best_fit_packing,
         "op3_binary_records": op3_binary_records,
         "op4_decontamination": op4_decontamination,
+        "op5_secret_scan": op5_secret_scan,
+        "op7_quality": op7_quality,
         "op9_simhash_dedup": op9_simhash_dedup,
     }
 
