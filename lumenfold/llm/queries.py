@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, packing, quality, records, secrets, simhash
+from . import decontaminate, language, neighbours, packing, quality, records, secrets, simhash
 from .common import fold_of, scratch, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -43,6 +43,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold_of(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op8_adaptive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -56,6 +60,7 @@ def queries() -> dict:
         "op4_decontamination": op4_decontamination,
         "op5_secret_scan": op5_secret_scan,
         "op7_quality": op7_quality,
+        "op8_adaptive_ann": op8_adaptive_ann,
         "op9_simhash_dedup": op9_simhash_dedup,
     }
 
