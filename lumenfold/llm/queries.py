@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, neighbours, packing, quality, records, secrets, simhash
+from . import decontaminate, language, neighbours, packing, quality, records, secrets, sharding, simhash
 from .common import fold_of, scratch, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -36,6 +36,11 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find(table(spark, sf_dir, "documents")))
 
 
+def op6_consistent_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard(table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"), fold_of(F.col("doc_id"), 3) != 1)
@@ -59,6 +64,7 @@ def queries() -> dict:
         "op3_binary_records": op3_binary_records,
         "op4_decontamination": op4_decontamination,
         "op5_secret_scan": op5_secret_scan,
+        "op6_consistent_sharding": op6_consistent_sharding,
         "op7_quality": op7_quality,
         "op8_adaptive_ann": op8_adaptive_ann,
         "op9_simhash_dedup": op9_simhash_dedup,
