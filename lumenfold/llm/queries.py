@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, neighbours, packing, quality, records, secrets, sharding, simhash
+from . import decontaminate, language, licenses, neighbours, packing, quality, records, secrets, sharding, simhash
 from .common import fold_of, scratch, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -57,6 +57,17 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.selectExpr(
+        "doc_id",
+        "CAST(size(matches) AS LONG) AS n_matches",
+        "array_join(array_sort(array_distinct(transform(matches, m -> m.license))), ',') AS licenses",
+        "array_join(transform(matches, m -> concat_ws(':', m.license, m.start, m.end)), ',') AS spans",
+        "coalesce(array_max(transform(matches, m -> round(m.coverage, 6))), 0D) AS coverage",
+    )
+
+
 def queries() -> dict:
     return {
         "op1_language_id": op1_language_id,
@@ -68,6 +79,7 @@ def queries() -> dict:
         "op7_quality": op7_quality,
         "op8_adaptive_ann": op8_adaptive_ann,
         "op9_simhash_dedup": op9_simhash_dedup,
+        "op10_license_scan": op10_license_scan,
     }
 
 
