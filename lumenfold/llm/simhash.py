@@ -34,22 +34,31 @@ from .common import save
 LOWER = bytes(range(256)).lower()
 
 
-def majority(words: list[bytes], width: int, seeds: tuple[int, ...], once: bool = False, block: int = 65_536) -> np.ndarray:
-    """A 64-bit SimHash of all word shingles for each seed; ``once`` counts a shingle that repeats once."""
-    if not words:
-        return np.zeros(len(seeds), "<i8")
-    n, ones, digest, seen = 0, np.zeros((len(seeds), 64), np.int64), xxhash.xxh64_intdigest, set()
-    for at in range(0, max(1, len(words) - width + 1), block):
+def counted(hashes: np.ndarray, copies: int) -> tuple[np.ndarray, int]:
+    """How many of the hashes set each bit, and their number.  With several copies, each hash is mixed into as many."""
+    if copies > 1:
+        x = hashes[:, None] + np.arange(1, copies + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        hashes = (x ^ (x >> np.uint64(31))).ravel()
+    bits = np.unpackbits(hashes.astype("<u8", copy=False).view(np.uint8), bitorder="little").reshape(-1, 64 * copies)
+    n = len(bits) // 255 * 255  # so many sum up in one byte
+    ones = bits[n:].sum(axis=0, dtype=np.uint8).astype(np.int64)
+    return ones + bits[:n].reshape(-1, 255, 64 * copies).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64), len(bits)
+
+
+def majority(words: list[bytes], width: int, copies: int = 1, once: bool = False, seed: int = 42, block: int = 8192) -> np.ndarray:
+    """``copies`` 64-bit SimHashes of all word shingles; ``once`` counts a shingle that repeats once."""
+    ones, n, digest, seen = np.zeros(64 * copies, np.int64), 0, xxhash.xxh64_intdigest, set()
+    for at in range(0, max(1, len(words) - width + 1) if words else 0, block):
         own = words[at : at + block + width - 1]
-        grams = own if width == 1 else [b" ".join(own)] if len(words) < width else list(map(b" ".join, zip(*(own[k:] for k in range(width)))))
+        grams = own[:block] if width == 1 else [b" ".join(own)] if len(words) < width else list(map(b" ".join, zip(*(own[k:] for k in range(width)))))
         if once:
             grams = set(grams) - seen
             seen |= grams
-        n += len(grams)
-        for k, seed in enumerate(seeds):
-            hashes = np.fromiter((digest(g, seed) for g in grams), "<u8", len(grams))
-            ones[k] += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > n, axis=1, bitorder="little").view("<i8")[:, 0]
+        more, m = counted(np.fromiter((digest(g, seed) for g in grams), np.uint64, len(grams)), copies)
+        ones, n = ones + more, n + m
+    return np.packbits(2 * ones > n, bitorder="little").view("<i8")
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -58,7 +67,7 @@ def words_of(text: str | None) -> list[bytes]:
 
 def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     """Signed 64-bit fingerprint of the whole text's word shingles."""
-    return int(majority(words_of(text), width, (seed,))[0])
+    return int(majority(words_of(text), width, seed=seed)[0])
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -208,11 +217,11 @@ def name_groups(marked: DataFrame, link) -> DataFrame:
     return marked.select("doc_id", "node").join(by_node, "node").select("doc_id", "node", "component_id")
 
 
-def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, tables: int = 3, segments: int = 3, proof_words: int = 8, slack: float = 0.6, hot: int = 64) -> DataFrame:
+def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, tables: int = 3, segments: int = 3, proof_words: int = 16, slack: float = 0.0, hot: int = 64) -> DataFrame:
     """(doc_id, node, component_id) by the similarity of the sets of ``width``-word shingles.
 
     Copies of one text with a few words changed keep most of their words but fewer shingles, so the tables to look in
-    hold SimHashes of the set of words, one for each seed, and a longer SimHash of the shingles, ``proof_words`` times
+    hold SimHashes of the set of words, and a longer SimHash of the shingles, ``proof_words`` times
     64 bits, decides.  A similarity s of two sets of like size is a cosine of 2s / (1 + s), which turns the share
     acos(cosine) / pi of the bits; the limit lies ``slack`` standard deviations above that.
     """
@@ -227,8 +236,8 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, tables: in
             look, sure = [], []
             for text in batch.column(1):
                 words = words_of(text.as_py())
-                look.append(majority(words, 1, tuple(range(tables)), True))
-                sure.append(majority(words, width, tuple(range(100, 100 + proof_words)), True))
+                look.append(majority(words, 1, tables, True))
+                sure.append(majority(words, width, proof_words, True))
             look = np.array(look)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(look[:, k]) for k in range(tables)), pa.array(sure, pa.list_(pa.int64()))], names)
 
