@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import joins, predicates, setops
 from .registry import Tables, query
 
-REVENUE = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+
+def revenue() -> Column:
+    return F.col("l_extendedprice") * (1 - F.col("l_discount"))
 
 
 @query(
@@ -22,7 +24,7 @@ def q3_flagship(t: Tables) -> DataFrame:
     cut = F.lit("1998-03-15").cast("timestamp_ntz")
     customer = t.customer.where(F.col("c_mktsegment") == "BUILDING").select("c_custkey")
     orders = t.orders.where(F.col("o_orderdate") < cut).select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
-    lines = t.lineitem.where(F.col("l_shipdate") > cut).select("l_orderkey", REVENUE.alias("rev"))
+    lines = t.lineitem.where(F.col("l_shipdate") > cut).select("l_orderkey", revenue().alias("rev"))
     joined = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
     grouped = joined.groupBy("l_orderkey", "o_orderdate", "o_orderpriority").agg(F.round(F.sum("rev"), 2).alias("revenue"))
     return setops.top_k(grouped.select("l_orderkey", "revenue", "o_orderdate", "o_orderpriority"), [F.desc("revenue"), F.asc("l_orderkey")], 10)
@@ -35,7 +37,7 @@ def q3_flagship(t: Tables) -> DataFrame:
        FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY l_returnflag, l_linestatus""",
 )
 def q1_pricing_summary(t: Tables) -> DataFrame:
-    return t.lineitem.where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz")).groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum("l_extendedprice"), 2).alias("sum_base"), F.round(F.sum(REVENUE), 2).alias("sum_disc"), F.round(F.avg("l_quantity"), 4).alias("avg_qty"), F.count("*").alias("n"))
+    return t.lineitem.where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz")).groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum("l_extendedprice"), 2).alias("sum_base"), F.round(F.sum(revenue()), 2).alias("sum_disc"), F.round(F.avg("l_quantity"), 4).alias("avg_qty"), F.count("*").alias("n"))
 
 
 @query(
