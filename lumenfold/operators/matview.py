@@ -44,7 +44,7 @@ class MaterializedViews:
         except Exception as error:
             status.state, status.error = before if status.path else "FAILED_LOAD", str(error)
             raise
-        self.status[name] = Status("LOADED", path, self.clock(), rows, status.loads + 1)
+        self.status[name] = Status("LOADED", path, float(self.clock()), rows, status.loads + 1)
 
     def refresh(self, name: str, invalidate: bool = False) -> int:
         if invalidate:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.conversion import TYPES
-from ..functions.json import _text, path_value, select
+from ..functions.json import _text, select
 
 Spec = Sequence[tuple]
 
@@ -148,17 +148,20 @@ def texttable(df: DataFrame, column: str, columns: Spec, **how) -> DataFrame:
 
 
 def json_rows(doc: str, row_path: str, columns: Spec, null_leaf: bool = True) -> Iterator[list]:
-    found = select(json.loads(doc), row_path)
-    if len(found) == 1 and isinstance(found[0], list):
-        found = found[0]
-    for number, value in enumerate(found, 1):
+    values = select(json.loads(doc), row_path)
+    if len(values) == 1 and isinstance(values[0], list):
+        values = values[0]
+    for number, value in enumerate(values, 1):
         row = []
         for c in columns:
             if c[1] == "ordinality":
                 row.append(number)
                 continue
             path = _options(c).get("path", f"$.{c[0]}").replace("@", "$", 1)
-            cell = _text(value) if path == "$" else path_value(json.dumps(value), path, null_leaf)
+            found = select(value, path)
+            if not found and not null_leaf:
+                raise ValueError(f"no value at {path}")
+            cell = _text(found[0]) if found else None
             row.append(_options(c).get("default") if cell is None else cell)
         yield row
 
