@@ -131,3 +131,14 @@ def fn_quality(t: Tables) -> DataFrame:
 @query("fn_lookup", "SELECT c_custkey, (SELECT n_name FROM nation WHERE n_nationkey = c_nationkey) AS nation FROM customer")
 def fn_lookup(t: Tables) -> DataFrame:
     return conv.lookup(t.customer, t.nation, "n_name", "n_nationkey", "c_nationkey", "nation").select("c_custkey", "nation")
+
+
+@query("fn_geo", "SELECT c_custkey, 'POINT (' || c_nationkey || ' ' || c_custkey || ')' AS wkt, round(sqrt((c_nationkey - 3) * (c_nationkey - 3) + (c_custkey - 4) * (c_custkey - 4)), 6) AS d, c_nationkey > 0 AND c_nationkey < 10 AND c_custkey > 0 AND c_custkey < 500 AS inside, abs(c_nationkey) * 2.0::DOUBLE AS area FROM customer")
+def fn_geo(t: Tables) -> DataFrame:
+    from ..functions import geo
+
+    p = geo.st_point("c_nationkey", "c_custkey")
+    rows = t.customer.select("c_custkey", "c_nationkey", p.alias("p"))
+    box = geo.st_makeenvelope(F.lit(0.0), F.lit(0.0), F.lit(10.0), F.lit(500.0))
+    flat = geo.st_makeenvelope(F.lit(0.0), F.lit(0.0), F.col("c_nationkey").cast("double"), F.lit(2.0))
+    return rows.select("c_custkey", geo.st_astext("p").alias("wkt"), F.round(geo.st_distance("p", geo.st_point(F.lit(3), F.lit(4))), 6).alias("d"), geo.st_contains(box, F.col("p")).alias("inside"), geo.st_area(flat).alias("area"))
