@@ -5,8 +5,8 @@ unique to both are anchors, the longest increasing subsequence of their places k
 between anchors are aligned in the same way, after equal words at their ends; a gap without anchors gets its longest
 common subsequence.  Coverage is the share of the template's words that found a partner.
 
-A document that lacks too many of a template's words to reach the least coverage is passed over for it; that test is
-exact.  Regions are taken from left to right and don't overlap within a template; where templates overlap, the one with
+A document that lacks too many of a template's words to reach the least coverage is passed over for it, by the set of its
+words; that test drops no match.  Regions are taken from left to right and don't overlap within a template; where templates overlap, the one with
 more words matched stays.
 
 Cases: null and empty texts have no license; a notice that repeats is found every time; texts are whole, however long.
@@ -42,6 +42,7 @@ TEMPLATES = {
 }
 _WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 _LOWER = {c: c + 32 for c in range(65, 91)}
+_RUNS = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in bytes(range(256)).lower())
 
 
 def words_of(text: str) -> tuple[list[str], list[tuple[int, int]]]:
@@ -116,30 +117,24 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 class Scanner:
     def __init__(self, templates: dict[str, str] = TEMPLATES, least: float = 0.8):
         self.least = least
-        self.templates = []
+        self.templates, self.parts = [], []
         for name, text in sorted(templates.items()):
             words = words_of(text)[0]
-            may_miss = len(words) - int(-(-least * len(words) // 1))
-            rare, missing = [], 0
-            for w, n in sorted(Counter(words).items(), key=lambda x: (x[1], -len(x[0]), x[0])):  # of any more than may be missing, one is there
-                rare.append(w)
-                missing += n
-                if missing > may_miss:
-                    break
-            self.templates.append((name, words, Counter(words), frozenset(rare)))
-        self.any = frozenset().union(*(t[3] for t in self.templates)) if self.templates else frozenset()
+            self.templates.append((name, words, Counter(words)))
+            self.parts.append([(frozenset(p.encode() for p in re.split("[.-]", w)), n) for w, n in Counter(words).items()])
+        self.vocabulary = frozenset(p for parts in self.parts for own, _ in parts for p in own)
 
     def matches(self, text: str | None) -> list[tuple[str, int, int, int, float]]:
         """(template, start, end, words matched, coverage), from left to right."""
         if not text:
             return []
-        words, spans = words_of(text)
-        if self.any.isdisjoint(words):
+        own = self.vocabulary.intersection(text.encode("utf-8", "surrogatepass").translate(_RUNS).split())
+        able = [t for t, parts in zip(self.templates, self.parts) if sum(n for w, n in parts if w <= own) >= self.least * len(t[1])]
+        if not able:
             return []
-        own, found = set(words), []
-        for name, template, count, rare in self.templates:
-            if rare.isdisjoint(own) or sum(n for w, n in count.items() if w in own) < self.least * len(template):
-                continue
+        words, spans = words_of(text)
+        found = []
+        for name, template, count in able:
             places = [k for k, w in enumerate(words) if w in count]
             width, at, reach = len(template) * 3 // 2 + 5, 0, 0
             held: Counter = Counter()
