@@ -7,10 +7,10 @@ cleared (of two values one bit apart, one has that bit set, so one direction is
 and the complete distance decides.
 
 Only distinct fingerprints take part, so exact copies cost one aggregation.  A segment value that more than ``hot``
-fingerprints share isn't joined with itself.  Its members are cut once more by parts of their other bits, again with
-balls of radius one; with two segments such a group shares 48 bits but for two, so its size has a bound that doesn't
-depend on the input.  It is labelled in place, by blocks of distances, and gives one edge for each member instead of
-one for each pair.
+fingerprints share isn't joined with itself.  Its members meet as a group, which is labelled in place, by blocks of
+distances, and gives one edge for each member instead of one for each pair.  A group of more than ``giant`` members is
+cut once more by parts of their other bits, again with balls of radius one; with two segments such a group shares 48
+bits but for two, so its size has a bound that doesn't depend on the input.
 
 Components come from alternating large-star and small-star steps, each of them a join and an aggregation, cut by
 written tables.
@@ -90,11 +90,11 @@ def _cleared(value: str, bits: int) -> str:
 
 
 def _segments(nodes: DataFrame, segments: int) -> tuple[DataFrame, DataFrame]:
-    """Index rows (seg, key, node, fp), and probe rows of the same columns."""
+    """Index rows (seg, key, node, fp), and probe rows of the same columns; seg counts on from table to table."""
     bits = _bounds(64, segments)
-    cut = nodes.select("node", "fp", *(F.expr(f"shiftrightunsigned(fp, {a}) & {(1 << n) - 1}L").alias(f"s{k}") for k, (a, n) in enumerate(bits)))
-    index = cut.selectExpr(f"stack({segments}, {', '.join(f'{k}, s{k}' for k in range(segments))}) AS (seg, key)", "node", "fp")
-    cleared = [f"transform({_cleared(f's{k}', n)}, x -> named_struct('seg', {k}, 'key', x))" for k, (_, n) in enumerate(bits)]
+    cut = nodes.select("node", "fp", "t", *(F.expr(f"shiftrightunsigned(fp, {a}) & {(1 << n) - 1}L").alias(f"s{k}") for k, (a, n) in enumerate(bits)))
+    index = cut.selectExpr(f"stack({segments}, {', '.join(f't * {segments} + {k}, s{k}' for k in range(segments))}) AS (seg, key)", "node", "fp")
+    cleared = [f"transform({_cleared(f's{k}', n)}, x -> named_struct('seg', t * {segments} + {k}, 'key', x))" for k, (_, n) in enumerate(bits)]
     probes = cut.selectExpr(f"inline(concat({', '.join(cleared)}))", "node", "fp")
     return index, probes
 
@@ -105,20 +105,21 @@ def _bounds(bits: int, parts: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
-def links(nodes: DataFrame, segments: int = 2, radius: int = 3, hot: int = 256, proof: DataFrame | None = None, limit: int = 0) -> DataFrame:
-    """Edges (u, v) between distinct nodes (columns node, fp) whose fingerprints differ in ``radius`` bits or less and,
-    with ``proof`` (columns node, proof: longs of a longer fingerprint), whose proofs differ in ``limit`` bits or less.
+def links(nodes: DataFrame, segments: int = 2, radius: int = 3, hot: int = 256, giant: int = 16_384, proof: DataFrame | None = None, limit: int = 0) -> DataFrame:
+    """Edges (u, v) between distinct nodes whose fingerprints in one table differ in ``radius`` bits or less and, with
+    ``proof`` (columns node, proof: longs of a longer fingerprint), whose proofs differ in ``limit`` bits or less.
 
-    Every such link of an ordinary segment value is an edge; for a hot one, edges connect what its links connect."""
+    ``nodes`` has a row (node, t, fp) for each node and table t.  Every such link of an ordinary segment value is an
+    edge; for one that more than ``hot`` nodes share, edges connect what its links connect."""
     if not 0 <= radius <= 2 * segments - 1:
         raise ValueError(f"{segments} segments and balls of radius one find up to {2 * segments - 1} differing bits")
     index, probes = _segments(nodes, segments)
-    crowded = save(index.groupBy("seg", "key").count().where(F.col("count") > hot).select("seg", "key"), "crowded")
+    crowded = save(index.groupBy("seg", "key").count().where(F.col("count") > hot), "crowded")
     dense = None
     if not crowded.isEmpty():
-        members = index.unionByName(probes).join(crowded, ["seg", "key"])
-        dense = _dense(members, segments, radius, proof, limit)
-        index, probes = (x.join(crowded, ["seg", "key"], "left_anti") for x in (index, probes))
+        members = index.withColumn("exact", F.lit(True)).unionByName(probes.withColumn("exact", F.lit(False))).join(crowded.select("seg", "key"), ["seg", "key"])
+        dense = _dense(members, segments, radius, giant, proof, limit)
+        index = index.join(crowded, ["seg", "key"], "left_anti")  # a probe without index rows meets nothing
     a, b = index.select("seg", "key", F.col("node").alias("u"), F.col("fp").alias("fu")), lambda x: x.select("seg", "key", F.col("node").alias("v"), F.col("fp").alias("fv"))
     near = F.expr(f"u <> v AND bit_count(fu ^ fv) <= {radius}")
     same = a.join(b(index), ["seg", "key"]).where(F.expr("u < v") & near)
@@ -137,22 +138,20 @@ def _differing(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
-def _dense(members: DataFrame, segments: int, radius: int, proof: DataFrame | None, limit: int) -> DataFrame:
-    """Edges among the members (seg, key, node, fp) of hot segment values: they are cut once more, by parts of
-    the bits outside the segment, with balls of radius one around those too."""
+def _dense(members: DataFrame, segments: int, radius: int, giant: int, proof: DataFrame | None, limit: int) -> DataFrame:
+    """Edges among the members (seg, key, node, fp, exact) of hot segment values.  Each value is one group; a giant one is
+    cut once more, by parts of the bits outside the segment, with balls of radius one around those too."""
+    members = save(members, "members")
+    huge = members.groupBy("seg", "key").count().where(F.col("count") > giant).select("seg", "key")
     if proof is not None:
         members = members.join(proof, "node")
     else:
         members = members.withColumn("proof", F.array("fp"))
         limit = radius
-    rest = 64 - 64 // segments
-    outside = " ".join(f"WHEN {k} THEN (fp & {(1 << a) - 1}L)" + (f" | shiftleft(shiftrightunsigned(fp, {a + n}), {a})" if a + n < 64 else "") for k, (a, n) in enumerate(_bounds(64, segments)))
-    own = members.withColumn("other", F.expr(f"CASE seg {outside} END"))
-    bits = _bounds(rest, segments)
-    cut = own.select("seg", "key", "node", "fp", "proof", *(F.expr(f"shiftrightunsigned(other, {a}) & {(1 << n) - 1}L").alias(f"s{k}") for k, (a, n) in enumerate(bits)))
-    home = cut.selectExpr("seg", "key", "node", "fp", "proof", f"stack({segments}, {', '.join(f'{k}, s{k}' for k in range(segments))}) AS (part, value)", "true AS home")
-    cleared = [f"transform({_cleared(f's{k}', n)}, x -> named_struct('part', {k}, 'value', x))" for k, (_, n) in enumerate(bits)]
-    ball = cut.selectExpr("seg", "key", "node", "fp", "proof", f"inline(concat({', '.join(cleared)}))", "false AS home")
+    groups = members.selectExpr("seg", "key", "-1 AS part", "0L AS value", "node", "fp", "proof", "exact AS home")
+    huge = save(huge, "giants")
+    if not huge.isEmpty():
+        groups = groups.join(huge, ["seg", "key"], "left_anti").unionByName(_cut(members.join(huge, ["seg", "key"]), segments))
 
     def connect(group: pa.Table) -> pa.Table:
         node, first = np.unique(group.column("node").to_numpy(), return_index=True)
@@ -166,8 +165,9 @@ def _dense(members: DataFrame, segments: int, radius: int, proof: DataFrame | No
             was = label.copy()
             for at in range(0, len(node), step):
                 close = np.bitwise_count(fp[at : at + step, None] ^ fp[None, hub]) <= radius
-                far = sum(np.bitwise_count(bits[at : at + step, None, k] ^ bits[None, hub, k]).astype(np.int32) for k in range(bits.shape[1]))
-                close &= far <= limit
+                i, j = np.nonzero(close)
+                far = sum(np.bitwise_count(bits[at + i, k] ^ bits[hub[j], k]).astype(np.int32) for k in range(bits.shape[1]))
+                close[i, j] = far <= limit
                 label[at : at + step] = np.minimum(label[at : at + step], np.where(close, label[hub][None, :], len(node)).min(axis=1))
                 label[hub] = np.minimum(label[hub], np.where(close, label[at : at + step, None], len(node)).min(axis=0))
             label = label[label]
@@ -175,7 +175,20 @@ def _dense(members: DataFrame, segments: int, radius: int, proof: DataFrame | No
         tied = np.flatnonzero(label != np.arange(len(node)))
         return pa.table([pa.array(node[label[tied]]), pa.array(node[tied])], ["u", "v"])
 
-    return home.unionByName(ball).groupBy("seg", "key", "part", "value").applyInArrow(connect, "u long, v long")
+    return groups.groupBy("seg", "key", "part", "value").applyInArrow(connect, "u long, v long")
+
+
+def _cut(members: DataFrame, segments: int) -> DataFrame:
+    """The members of giant segment values as rows (seg, key, part, value, node, fp, proof, home), home: not in a ball."""
+    rest = 64 - 64 // segments
+    outside = " ".join(f"WHEN {k} THEN (fp & {(1 << a) - 1}L)" + (f" | shiftleft(shiftrightunsigned(fp, {a + n}), {a})" if a + n < 64 else "") for k, (a, n) in enumerate(_bounds(64, segments)))
+    own = members.withColumn("other", F.expr(f"CASE seg % {segments} {outside} END"))
+    bits = _bounds(rest, segments)
+    cut = own.select("seg", "key", "node", "fp", "proof", *(F.expr(f"shiftrightunsigned(other, {a}) & {(1 << n) - 1}L").alias(f"s{k}") for k, (a, n) in enumerate(bits)))
+    home = cut.selectExpr("seg", "key", "node", "fp", "proof", f"stack({segments}, {', '.join(f'{k}, s{k}' for k in range(segments))}) AS (part, value)", "true AS home")
+    cleared = [f"transform({_cleared(f's{k}', n)}, x -> named_struct('part', {k}, 'value', x))" for k, (_, n) in enumerate(bits)]
+    ball = cut.selectExpr("seg", "key", "node", "fp", "proof", f"inline(concat({', '.join(cleared)}))", "false AS home")
+    return home.unionByName(ball)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -204,7 +217,7 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, hot: int = 256) -> DataFrame:
     """(doc_id, fp, component_id) for each row: the smallest doc_id that links reach from it."""
     marked = save(fingerprints(docs, width).withColumn("node", F.col("fp")), "fingerprints")
-    return name_groups(marked, lambda nodes: links(nodes.select("node", F.col("node").alias("fp")), (radius + 2) // 2, radius, hot)).select("doc_id", F.col("node").alias("fp"), "component_id")
+    return name_groups(marked, lambda nodes: links(nodes.select("node", F.lit(0).alias("t"), F.col("node").alias("fp")), (radius + 2) // 2, radius, hot)).select("doc_id", F.col("node").alias("fp"), "component_id")
 
 
 def name_groups(marked: DataFrame, link) -> DataFrame:
@@ -245,11 +258,8 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, tables: in
     nodes = save(marked.groupBy("node").agg(*(F.first(f).alias(f) for f in [*fps, "proof"])), "nodes")
 
     def link(_: DataFrame) -> DataFrame:
-        found = [links(nodes.select("node", F.col(f).alias("fp")), segments, 2 * segments - 1, hot, nodes.select("node", "proof"), limit) for f in fps]
-        out = found[0]
-        for x in found[1:]:
-            out = out.unionByName(x)
-        return out.distinct()
+        tabled = nodes.selectExpr("node", f"stack({tables}, {', '.join(f'{k}, {f}' for k, f in enumerate(fps))}) AS (t, fp)")
+        return links(tabled, segments, 2 * segments - 1, hot, proof=nodes.select("node", "proof"), limit=limit)
 
     return name_groups(marked, link)
 

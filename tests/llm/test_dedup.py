@@ -33,8 +33,8 @@ def test_fingerprints(docs):
         assert simhash.fingerprint(r.text) % 2**64 == slow_fingerprint(r.text)
 
 
-@pytest.mark.parametrize(("segments", "radius", "hot"), [(2, 3, 256), (2, 3, 3), (3, 5, 3)])
-def test_links_and_components(spark, segments, radius, hot):
+@pytest.mark.parametrize(("segments", "radius", "hot", "giant"), [(2, 3, 256, 256), (2, 3, 3, 256), (2, 3, 3, 3), (3, 5, 3, 256), (3, 5, 3, 3)])
+def test_links_and_components(spark, segments, radius, hot, giant):
     rng = np.random.default_rng(segments)
     points = []
     for base in rng.integers(0, 2**64, 12, dtype=np.uint64):
@@ -47,8 +47,8 @@ def test_links_and_components(spark, segments, radius, hot):
     near = np.bitwise_count(points[:, None] ^ points[None, :]) <= radius
     label = closed(points, near)
     signed = points.view(np.int64)
-    nodes = spark.createDataFrame([(int(v),) for v in signed], "fp long").withColumn("node", F.col("fp"))
-    edges = simhash.links(nodes, segments, radius, hot)
+    nodes = spark.createDataFrame([(int(v),) for v in signed], "fp long").withColumn("node", F.col("fp")).withColumn("t", F.lit(0))
+    edges = simhash.links(nodes, segments, radius, hot, giant)
     if hot > 100:
         want = {tuple(sorted((int(signed[i]), int(signed[j])))) for i, j in zip(*np.nonzero(near)) if i < j}
         assert {(r.u, r.v) for r in edges.collect()} == want
@@ -60,7 +60,7 @@ def test_links_and_components(spark, segments, radius, hot):
 
 def test_too_wide_a_radius(spark):
     with pytest.raises(ValueError):
-        simhash.links(spark.createDataFrame([], "node long, fp long"), 2, 4)
+        simhash.links(spark.createDataFrame([], "node long, t int, fp long"), 2, 4)
 
 
 def test_near_duplicates(docs):
