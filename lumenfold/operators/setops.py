@@ -35,10 +35,15 @@ def recursive_union(seed: DataFrame, step: Callable[[DataFrame], DataFrame], dis
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lumenfold-"))
     new = (seed.distinct() if distinct else seed).checkpoint()
-    total = new
+    parts = [new]
     for _ in range(max_rounds):
+        total = parts[0]
+        for p in parts[1:]:
+            total = total.unionByName(p)
         if new.isEmpty():
             return total
+        if len(parts) > 32:  # a plan of so many branches is written as one
+            parts = [total := total.checkpoint()]
         more = step(new).select(*(F.col(c).cast(t).alias(c) for c, t in seed.dtypes))
         if distinct:
             same = [more[c].eqNullSafe(total[c]) for c in seed.columns]
@@ -47,5 +52,5 @@ def recursive_union(seed: DataFrame, step: Callable[[DataFrame], DataFrame], dis
                 condition = condition & c
             more = more.distinct().join(total, condition, "left_anti")
         new = more.checkpoint()
-        total = total.unionByName(new).checkpoint()
+        parts.append(new)
     raise RuntimeError(f"recursion didn't end after {max_rounds} rounds")
