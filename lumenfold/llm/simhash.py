@@ -230,7 +230,7 @@ def name_groups(marked: DataFrame, link) -> DataFrame:
     return marked.select("doc_id", "node").join(by_node, "node").select("doc_id", "node", "component_id")
 
 
-def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, tables: int = 3, segments: int = 3, proof_words: int = 16, slack: float = 0.0, hot: int = 64) -> DataFrame:
+def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, tables: int = 3, segments: int = 3, proof_words: int = 16, slack: float = 0.0, hot: int = 16) -> DataFrame:
     """(doc_id, node, component_id) by the similarity of the sets of ``width``-word shingles.
 
     Copies of one text with a few words changed keep most of their words but fewer shingles, so the tables to look in
