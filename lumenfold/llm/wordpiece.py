@@ -59,7 +59,7 @@ class WordEncoder:
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
-            return b"".join(map(self.exact.__getitem__, text.split()))if not self._odd(text) else self._whole(text)
+            return self._whole(text) if self._odd(text) else b"".join(map(self.exact.__getitem__, text.split()))
         if self._odd(text) or any(s in text.lower() for s in self.special):
             return self._whole(text)
         return b"".join(map(self.words.__getitem__, text.lower().split()))
