@@ -230,40 +230,122 @@ def name_groups(marked: DataFrame, link) -> DataFrame:
     return marked.select("doc_id", "node").join(by_node, "node").select("doc_id", "node", "component_id")
 
 
-def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, tables: int = 3, segments: int = 3, proof_words: int = 16, slack: float = 0.0, hot: int = 16) -> DataFrame:
-    """(doc_id, node, component_id) by the similarity of the sets of ``width``-word shingles.
+def shingles(words: list[bytes], width: int) -> np.ndarray:
+    """XXH64 of the distinct word shingles, sorted; a text of fewer words is one shingle, an empty one has none."""
+    grams = [b" ".join(words)] if 0 < len(words) < width else list(map(b" ".join, zip(*(words[k:] for k in range(width)))))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), np.uint64, len(grams)))
 
-    Copies of one text with a few words changed keep most of their words but fewer shingles, so the tables to look in
-    hold SimHashes of the set of words, and a longer SimHash of the shingles, ``proof_words`` times
-    64 bits, decides.  A similarity s of two sets of like size is a cosine of 2s / (1 + s), which turns the share
-    acos(cosine) / pi of the bits; the limit lies ``slack`` standard deviations above that.
+
+def minima(grams: np.ndarray, size: int, block: int = 512) -> np.ndarray:
+    """MinHash: for each of ``size`` hash functions the upper half of its least value over the set."""
+    flip, odd = np.random.default_rng(7).integers(0, 2**64, (2, size), dtype=np.uint64)
+    odd |= np.uint64(1)
+    least = np.full(size, 2**64 - 1, np.uint64)
+    for at in range(0, len(grams), block):
+        np.minimum(least, ((grams[at : at + block, None] ^ flip) * odd).min(axis=0), out=least)
+    return (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def _lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(np.cumsum([0, *map(len, rows)], dtype=np.int32), pa.array(np.concatenate(rows), kind))
+
+
+def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, bands: int = 25, rows: int = 5, hot: int = 16) -> DataFrame:
+    """(doc_id, node, component_id) by the similarity (Jaccard) of the sets of ``width``-word shingles.
+
+    Two sets of similarity s agree in a MinHash value with probability s, so of ``bands`` bands of ``rows`` values they
+    share one with probability 1 - (1 - s ** rows) ** bands: 0.99995 at 0.8, whatever the sets' sizes.  Sharing a band
+    makes a pair a candidate; the share of all values that agree decides.  Equal sets are one node.
+
+    A band value of ``hot`` nodes or less gives all its pairs.  In one of more, each node first meets only the leaders
+    that its MinHash values resemble; then nodes that aren't yet connected meet those they resemble most, at last all
+    that could reach ``similarity`` (values that agree at least at 4.5 standard deviations below it).
     """
-    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    bits = 64 * proof_words
-    limit = int(bits * share + slack * (bits * share * (1 - share)) ** 0.5)
-    fps = [f"f{k}" for k in range(tables)]
-    names = ["doc_id", *fps, "proof"]
+    size = bands * rows
+    floor = similarity - 4.5 * (similarity * (1 - similarity) / size) ** 0.5
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            look, sure = [], []
-            for text in batch.column(1):
-                words = words_of(text.as_py())
-                look.append(majority(words, 1, tables, True))
-                sure.append(majority(words, width, proof_words, True))
-            look = np.array(look)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(look[:, k]) for k in range(tables)), pa.array(sure, pa.list_(pa.int64()))], names)
-
-    marked = save(_id_text(docs).mapInArrow(run, f"doc_id long, {', '.join(f'{f} long' for f in fps)}, proof array<long>").withColumn("node", F.xxhash64("proof", *fps)), "fingerprints")
-    nodes = save(marked.groupBy("node").agg(*(F.first(f).alias(f) for f in [*fps, "proof"])), "nodes")
+            if batch.num_rows:
+                sets = [shingles(words_of(t.as_py()), width) for t in batch.column(1)]
+                node = np.array([xxhash.xxh64_intdigest(g.tobytes(), 42) for g in sets], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node), pa.array([len(g) for g in sets], pa.int32()), _lists([minima(g, size) for g in sets], pa.int32()), _lists([g.view(np.int64) for g in sets], pa.int64())], ["doc_id", "node", "n", "sketch", "grams"])
+
+    marked = save(_id_text(docs).mapInArrow(run, "doc_id long, node long, n int, sketch array<int>, grams array<long>"), "fingerprints")
+    nodes = save(marked.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
+    keyed = nodes.selectExpr("node", "n", f"explode(transform(sequence(0, {bands - 1}), b -> xxhash64(b, slice(sketch, b * {rows} + 1, {rows})))) AS key")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    members = save(keyed.join(shared, "key"), "members")
+    sets = nodes.withColumnRenamed("sketch", "own")
+
+    def settle(pairs: DataFrame) -> DataFrame:
+        for end in ("u", "v"):
+            pairs = pairs.join(sets.select(F.col("node").alias(end), F.col("own").alias(f"s{end}")), end)
+        return pairs.where(F.expr(f"size(filter(zip_with(su, sv, (a, b) -> a = b), x -> x)) >= {similarity * size}")).select("u", "v")
 
     def link(_: DataFrame) -> DataFrame:
-        tabled = nodes.selectExpr("node", f"stack({tables}, {', '.join(f'{k}, {f}' for k, f in enumerate(fps))}) AS (t, fp)")
-        return links(tabled, segments, 2 * segments - 1, hot, proof=nodes.select("node", "proof"), limit=limit)
+        few = members.where(F.col("c") <= hot)
+        a, b = (few.selectExpr("key", f"node AS {end}", f"n AS n{end}") for end in ("u", "v"))
+        pairs = a.join(b, "key").where(F.expr(f"u < v AND least(nu, nv) / greatest(nu, nv) >= {similarity}")).select("u", "v").distinct()
+        crowd = members.where(F.col("c") > hot)
+        if crowd.isEmpty():
+            return save(settle(pairs), "links")
+        crowd = save(crowd.join(nodes.select("node", "sketch"), "node"), "crowd")
+        first = crowd.withColumn("label", F.col("node")).groupBy("key").applyInArrow(_meet(similarity, similarity, 0), "u long, v long").distinct()
+        edges = save(settle(pairs.unionByName(first).distinct()), "links")
+        for most in (8, None):
+            labelled = crowd.join(components(edges).withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left").withColumn("label", F.coalesce("root", "node")).drop("m", "root")
+            split = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("key")
+            apart = save(labelled.join(split, "key", "left_semi"), "apart")
+            if apart.isEmpty():
+                break
+            more = apart.groupBy("key").applyInArrow(_meet(similarity, floor, most), "u long, v long").distinct()
+            edges = save(edges.unionByName(settle(more)), "links")
+        return edges
 
     return name_groups(marked, link)
 
 
+def _meet(similarity: float, floor: float, most: int | None):
+    """Pairs within one band value of nodes whose shares of agreeing MinHash values are ``floor`` or more: with ``most``
+    0 each node with the first leader that is so near, else nodes of different labels, each with its ``most`` nearest
+    ones (None: all)."""
+
+    def meet(group: pa.Table) -> pa.Table:
+        node, n, label = (group.column(c).to_numpy() for c in ("node", "n", "label"))
+        order = np.argsort(node)
+        sketch = np.concatenate([c.flatten().to_numpy() for c in group.column("sketch").chunks]).reshape(len(node), -1)[order]
+        node, n, label = node[order], n[order], label[order]
+
+        def share(i: int, others: np.ndarray) -> np.ndarray:
+            near = (sketch[others] == sketch[i]).mean(axis=1)
+            near[np.minimum(n[others], n[i]) < similarity * np.maximum(n[others], n[i]) - 1e-9] = -1
+            return near
+
+        us, vs = [], []
+        if most == 0:
+            left = np.arange(len(node))
+            while len(left):
+                lead, left = left[0], left[1:]
+                near = share(lead, left) >= floor
+                us.append(np.full(int(near.sum()), lead))
+                vs.append(left[near])
+                left = left[~near]
+        else:
+            for i in range(len(node)):
+                others = np.flatnonzero(label != label[i])
+                near = share(i, others)
+                close = np.flatnonzero(near >= floor)
+                if most is not None:
+                    close = close[np.argsort(-near[close], kind="stable")[:most]]
+                us.append(np.full(len(close), i))
+                vs.append(others[close])
+        u, v = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (us, vs))
+        return pa.table([pa.array(node[np.minimum(u, v)]), pa.array(node[np.maximum(u, v)])], ["u", "v"])
+
+    return meet
+
+
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """The document with the smallest id of each group of ``similar``, with all columns.  Rows that repeat an id leave
     one; rows without an id can't be told apart and all stay."""

@@ -102,3 +102,23 @@ def test_keep_one_finds_copies(spark, hot):
     kept = [r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), hot=hot).collect()]
     assert len({group[k] for k in kept}) == 25
     assert len(kept) <= 27
+
+
+def jaccard(a, b, width=5):
+    a, b = ({tuple(t.split()[k : k + width]) for k in range(max(1, len(t.split()) - width + 1))} for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_cut_and_appended_copies_are_proposed(spark):
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    rows = []
+    for base in range(60):
+        words = [word() for _ in range(int(rng.integers(100, 600)))]
+        keep = int(len(words) * rng.uniform(0.83, 0.95))  # similarity 0.83 to 0.95, or a little less
+        rows += [(2 * base, " ".join(words)), (2 * base + 1, " ".join(words[:keep] if base % 2 else words + [word() for _ in range(len(words) - keep)]))]
+    want = [k for k in range(60) if jaccard(rows[2 * k][1], rows[2 * k + 1][1]) >= 0.84]
+    assert len(want) > 30
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    missed = [k for k in want if 2 * k + 1 in kept]
+    assert len(missed) <= len(want) // 10
