@@ -255,10 +255,10 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, bands: int
 
     Two sets of similarity s agree in a MinHash value with probability s, so of ``bands`` bands of ``rows`` values they
     share one with probability 1 - (1 - s ** rows) ** bands: 0.99995 at 0.8, whatever the sets' sizes.  Sharing a band
-    makes a pair a candidate; the share of all values that agree decides.  Equal sets are one node.
+    makes a pair a candidate; the exact similarity of its two sets (of 64-bit hashes of shingles) decides.  Equal sets are one node.
 
-    A band value of ``hot`` nodes or less gives all its pairs.  In one of more, each node first meets only the leaders
-    that its MinHash values resemble; then nodes that aren't yet connected meet those they resemble most, at last all
+    In a band value of ``hot`` nodes or less each node meets the smallest, then all that aren't yet connected meet.  In one
+    of more, each node first meets only the leader that its MinHash values resemble; then nodes that aren't yet connected meet those they resemble most, at last all
     that could reach ``similarity`` (values that agree at least at 4.5 standard deviations below it).
     """
     size = bands * rows
@@ -269,38 +269,49 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, bands: int
             if batch.num_rows:
                 sets = [shingles(words_of(t.as_py()), width) for t in batch.column(1)]
                 node = np.array([xxhash.xxh64_intdigest(g.tobytes(), 42) for g in sets], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node), pa.array([len(g) for g in sets], pa.int32()), _lists([minima(g, size) for g in sets], pa.int32()), _lists([g.view(np.int64) for g in sets], pa.int64())], ["doc_id", "node", "n", "sketch", "grams"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node), pa.array([len(g) for g in sets], pa.int32()), _lists([minima(g, size) for g in sets], pa.int32())], ["doc_id", "node", "n", "sketch"])
 
-    marked = save(_id_text(docs).mapInArrow(run, "doc_id long, node long, n int, sketch array<int>, grams array<long>"), "fingerprints")
-    nodes = save(marked.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                sets = [shingles(words_of(t.as_py()), width) for t in batch.column(1)]
+                node = np.array([xxhash.xxh64_intdigest(g.tobytes(), 42) for g in sets], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(node), _lists([g.view(np.int64) for g in sets], pa.int64())], ["node", "own"])
+
+    marked = save(_id_text(docs).mapInArrow(run, "doc_id long, node long, n int, sketch array<int>"), "fingerprints")
+    nodes = save(marked.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
     keyed = nodes.selectExpr("node", "n", f"explode(transform(sequence(0, {bands - 1}), b -> xxhash64(b, slice(sketch, b * {rows} + 1, {rows})))) AS key")
     shared = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     members = save(keyed.join(shared, "key"), "members")
-    sets = nodes.withColumnRenamed("sketch", "own")
+    ids = save(nodes.join(members.select("node").distinct(), "node", "left_semi").select(F.col("id").alias("doc_id")).distinct(), "ids")
+    texts = _id_text(docs)
+    texts = texts.join(ids, "doc_id", "left_semi").unionByName(texts.where("doc_id IS NULL"))
+    sets = save(texts.mapInArrow(whole, "node long, own array<long>").groupBy("node").agg(F.first("own").alias("own")), "sets")
 
     def settle(pairs: DataFrame) -> DataFrame:
         for end in ("u", "v"):
             pairs = pairs.join(sets.select(F.col("node").alias(end), F.col("own").alias(f"s{end}")), end)
-        return pairs.where(F.expr(f"size(filter(zip_with(su, sv, (a, b) -> a = b), x -> x)) >= {similarity * size}")).select("u", "v")
+        return pairs.where(F.expr(f"size(array_intersect(su, sv)) / (size(su) + size(sv) - size(array_intersect(su, sv))) >= {similarity}")).select("u", "v")
 
     def link(_: DataFrame) -> DataFrame:
         few = members.where(F.col("c") <= hot)
-        a, b = (few.selectExpr("key", f"node AS {end}", f"n AS n{end}") for end in ("u", "v"))
-        pairs = a.join(b, "key").where(F.expr(f"u < v AND least(nu, nv) / greatest(nu, nv) >= {similarity}")).select("u", "v").distinct()
-        crowd = members.where(F.col("c") > hot)
-        if crowd.isEmpty():
-            return save(settle(pairs), "links")
-        crowd = save(crowd.join(nodes.select("node", "sketch"), "node"), "crowd")
-        first = crowd.withColumn("label", F.col("node")).groupBy("key").applyInArrow(_meet(similarity, similarity, 0), "u long, v long").distinct()
-        edges = save(settle(pairs.unionByName(first).distinct()), "links")
+        crowd = save(members.where(F.col("c") > hot).join(nodes.select("node", "sketch"), "node"), "crowd")
+        star = few.join(few.groupBy("key").agg(F.min("node").alias("u")), "key").where("u < node").select("u", F.col("node").alias("v"))
+        first = crowd.withColumn("label", F.col("node")).groupBy("key").applyInArrow(_meet(similarity, similarity, 0), "u long, v long")
+        edges = save(settle(star.unionByName(first).distinct()), "links")
         for most in (8, None):
-            labelled = crowd.join(components(edges).withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left").withColumn("label", F.coalesce("root", "node")).drop("m", "root")
-            split = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("key")
-            apart = save(labelled.join(split, "key", "left_semi"), "apart")
-            if apart.isEmpty():
+            root = components(edges).withColumnRenamed("node", "m")
+            labelled = lambda df: df.join(root, F.col("node") == F.col("m"), "left").withColumn("label", F.coalesce("root", "node")).drop("m", "root")  # noqa: B023, E731
+            keep = lambda df: df.join(df.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("key"), "key", "left_semi")
+            apart = save(keep(labelled(crowd)), "apart")
+            more = apart.groupBy("key").applyInArrow(_meet(similarity, floor, most), "u long, v long")
+            if most:
+                rest = save(keep(labelled(few)), "rest")
+                a, b = (rest.selectExpr("key", f"node AS {end}", f"n AS n{end}", f"label AS l{end}") for end in ("u", "v"))
+                more = more.unionByName(a.join(b, "key").where(F.expr(f"u < v AND lu <> lv AND least(nu, nv) / greatest(nu, nv) >= {similarity}")).select("u", "v"))
+            elif apart.isEmpty():
                 break
-            more = apart.groupBy("key").applyInArrow(_meet(similarity, floor, most), "u long, v long").distinct()
-            edges = save(edges.unionByName(settle(more)), "links")
+            edges = save(edges.unionByName(settle(more.distinct())), "links")
         return edges
 
     return name_groups(marked, link)

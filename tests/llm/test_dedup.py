@@ -122,3 +122,19 @@ def test_cut_and_appended_copies_are_proposed(spark):
     kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     missed = [k for k in want if 2 * k + 1 in kept]
     assert len(missed) <= len(want) // 10
+
+
+@pytest.mark.parametrize("hot", [16, 2])
+def test_similarity_is_exact(spark, hot):
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    rows = []
+    for base in range(40):
+        words = [word() for _ in range(int(rng.choice([8, 9, 10, 14, 24, 44, 104])))]
+        for copy in range(5):
+            own = words + [word() for _ in range(int(rng.integers(0, len(words) // 3)))] if copy % 2 else words[: len(words) - int(rng.integers(0, len(words) // 4 + 1))]
+            rows.append((len(rows), " ".join(own)))
+    near = np.array([[i == j or (i // 5 == j // 5 and jaccard(rows[i][1], rows[j][1]) >= 0.8) for j in range(len(rows))] for i in range(len(rows))])
+    label = closed(np.arange(len(rows)), near)
+    got = simhash.similar(spark.createDataFrame(rows, "doc_id long, text string"), hot=hot)
+    assert same(got, "doc_id", "component_id") == sorted(((k, int(own)) for k, own in enumerate(label)), key=repr)
