@@ -2,17 +2,17 @@
 
 Three kinds are looked for in a text: assignments to telling names, access keys, and long runs of hex digits.  Then each
 layer is unwrapped into new layers: percent escapes and Unicode or character escapes over the whole layer, and every
-base64 run (plain or URL-safe) into text or, through gzip, zlib, bzip2 or xz, into what was compressed.  New layers join
-a worklist until none is left; a layer whose text was seen before in the document is not taken again, which also ends
+base64 run (plain or URL-safe) into bytes.  Bytes are read as UTF-8, else
+as Latin-1, and as UTF-16 too if any is zero; gzip, zlib, bzip2 and xz streams that begin anywhere in them, are inflated, all members.  New layers join a worklist until none is left; a layer whose text was seen before in the document is not taken again, which also ends
 cycles.  Every layer maps each of its characters to a range of the whole text, so a finding at any depth has a span there.
 
-Cases: a null text counts as empty; spans are code points, end exclusive; equal spans of one kind count once; a document
-that would unwrap to more than ``budget`` characters in all stops there, and ``complete`` is false.
+Cases: a null text counts as empty; spans are code points, end exclusive; equal spans of one kind count once; ``budget``
+bounds the characters that wait, not what is read: later layers are unwrapped at once, and a stream that inflates to more
+is read in overlapping windows.  Then, and if a stream breaks off, ``complete`` is false.
 """
 
 from __future__ import annotations
 
-import base64
 import binascii
 import bz2
 import hashlib
@@ -20,7 +20,7 @@ import lzma
 import re
 import zlib
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +35,11 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[dD][89abAB][0-9A-Fa-f]{2}\\u[dD][c-fC-F][0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#x[0-9A-Fa-f]{1,6};|&#[0-9]{1,7};)")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_IN64 = np.isin(np.arange(256), np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_", np.uint8))
+_PLAIN = bytes.maketrans(b"-_", b"+/")
+_MAGIC = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\xfd7zXZ\x00")
+_FORMATS = (("gzip", b"\x1f\x8b", lambda: zlib.decompressobj(31)), ("zlib", b"x", zlib.decompressobj), ("bzip2", b"BZh", bz2.BZ2Decompressor), ("xz", b"\xfd", lambda: lzma.LZMADecompressor(memlimit=256 << 20)))
+WINDOW, OVERLAP = 1 << 20, 1 << 16
 _LOW = bytes(range(256)).lower()
 
 
@@ -108,81 +113,137 @@ def _percent(run: str) -> list[tuple[str, int]]:
     return out
 
 
-def inflate(data: bytes, budget: int) -> tuple[bytes, str] | None:
-    """What a compressed stream holds, up to ``budget`` + 1 bytes, and its format; None if it isn't one."""
+def _inflated(data: bytes, new: Callable, state: dict) -> Iterator[bytes]:
+    """What all members of a compressed stream hold, piece by piece.  ``state`` says if it ended and if it failed."""
+    reader = None
+    for at in range(0, len(data), 4096):
+        part = data[at : at + 4096]
+        while part:
+            if reader is None or reader.eof:
+                if reader is not None and not (part := part.lstrip(b"\0")):
+                    break
+                state["members"] = state.get("members", -1) + 1
+                reader = new()
+            try:
+                out = reader.decompress(part)
+            except (zlib.error, OSError, lzma.LZMAError, EOFError):
+                state["failed"] = not state["members"]  # what follows a whole member may be anything
+                return
+            if out:
+                yield out
+            part = reader.unused_data if reader.eof else b""
+    state["cut"] = reader is not None and not reader.eof
+
+
+def _texts(data: bytes) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """Readings of bytes, with each character's range of bytes: UTF-8, else Latin-1; with zero bytes also UTF-16."""
+    if not data:
+        return
     try:
-        if data[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(data, budget + 1), "gzip"
-        if data[:1] == b"x" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0:
-            return zlib.decompressobj().decompress(data, budget + 1), "zlib"
-        if data[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(data, budget + 1), "bzip2"
-        if data[:6] == b"\xfd7zXZ\x00":
-            return lzma.LZMADecompressor(memlimit=256 << 20).decompress(data, budget + 1), "xz"
-    except (zlib.error, OSError, lzma.LZMAError, EOFError):
-        pass
-    return None
-
-
-def _readable(data: bytes) -> str | None:
-    try:
-        text = data.decode()
+        start = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
+        yield data.decode(), start, np.append(start[1:], len(data))
     except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\t\r\n" for c in text) else None
-
-
-def _unwrapped(layer: Layer, budget: int) -> Iterator[Layer]:
+        yield data.decode("latin-1"), np.arange(len(data)), np.arange(1, len(data) + 1)
+    if b"\0" in data:
+        for first in (0, 1):
+            own = data[first : first + (len(data) - first) // 2 * 2]
+            for name in ("utf-16-le", "utf-16-be"):
+                if own:
+                    text = own.decode(name, "surrogatepass")
+                    end = first + np.cumsum(np.fromiter((4 if ord(c) > 0xFFFF else 2 for c in text), np.int64, len(text)))
+                    yield text, np.append(first, end[:-1]), end
+
+
+def _opened(layer: Layer, data: bytes, place: Callable, how: str, budget: int, opaque: list, base: bool = True) -> Iterator[Layer]:
+    """Layers of the bytes and of the compressed streams in them; ``place`` maps ranges of bytes to ranges of the layer.  A
+    stream of more than ``budget`` bytes comes in overlapping windows; the span of one that isn't read as a whole goes to
+    ``opaque``."""
+    if base:
+        for text, start, end in _texts(data):
+            yield layer.child(text, *place(start, end), how)
+    for m in _MAGIC.finditer(data):
+        name, new = next((n, f) for n, magic, f in _FORMATS if m[0].startswith(magic))
+        low, high = (int(x[0]) for x in place(np.array([m.start()]), np.array([len(data)])))
+        whole = lambda start, end, low=low, high=high: (np.full(len(start), low), np.full(len(end), high))
+        state: dict = {}
+        held, over = b"", False
+        pieces: list[bytes] = []
+        size = 0
+        for piece in _inflated(data[m.start() :], new, state):
+            pieces.append(piece)
+            size += len(piece)
+            if size > (WINDOW if over else budget):
+                over = True
+                held = b"".join(pieces)
+                for at in range(0, len(held), WINDOW - OVERLAP):
+                    yield from _opened(layer, held[at : at + WINDOW], whole, f"{how}>{name}", budget, opaque)
+                pieces = [held[-OVERLAP:]]
+                size = len(pieces[0])
+        held = b"".join(pieces)
+        if over or ((state.get("cut") or state.get("failed") and held) and (name != "zlib" or not m.start() and not state.get("failed"))):
+            opaque.append(layer.span(low, high))
+        if held:
+            yield from _opened(layer, held, whole, f"{how}>{name}", budget, opaque)
+
+
+def _unwrapped(layer: Layer, budget: int, opaque: list) -> Iterator[Layer]:
     text = layer.text
     if "%" in text and (new := _replaced(layer, _PERCENT, _percent, "url")):
         yield new
     if ("\\" in text or "&#" in text) and (new := _replaced(layer, _ESCAPE, lambda e: [(_character(e), len(e))], "unicode")):
         yield new
     for m in _BASE64.finditer(text):
-        body = m[0].rstrip("=")
-        if len(body) % 4 == 1:
-            continue
-        try:
-            data = base64.b64decode((body + "=" * (-len(body) % 4)).encode(), b"-_" if "-" in body or "_" in body else b"+/", validate=True)
-        except binascii.Error:
-            continue
-        how = ["base64"]
-        while (got := inflate(data, budget)) is not None:
-            data = got[0]
-            how.append(got[1])
-        new = _readable(data)
-        if new is None:
-            continue
-        if len(how) > 1:
-            start, end = np.full(len(new), m.start()), np.full(len(new), m.end())
-        else:
-            size = np.fromiter((len(c.encode()) for c in new), np.int64, len(new))
-            end = np.cumsum(size)
-            start, end = m.start() + (end - size) * 4 // 3, np.minimum(m.start() + -(-end * 4 // 3), m.end())
-            end[-1] = m.end()  # the padding belongs to the last character
-        yield layer.child(new, start, end, ">".join(how))
+        codes = np.frombuffer(m[0].encode(), np.uint8)
+        at = np.flatnonzero(_IN64[codes])
+        body, at = codes[at].tobytes().translate(_PLAIN), at + m.start()
+        for phase in range(1):
+            own = body[phase:]
+            own = own[:-1] if len(own) % 4 == 1 else own
+            data = binascii.a2b_base64(own + b"=" * (-len(own) % 4))
 
+            def place(start: np.ndarray, end: np.ndarray, phase=phase, size=len(data), at=at, m=m) -> tuple[np.ndarray, np.ndarray]:
+                high = at[np.minimum(phase - (-end * 4 // 3), len(at)) - 1] + 1
+                return at[phase + start * 4 // 3], np.where(end == size, m.end(), high)  # the padding belongs to the last character
 
-def findings(text: str | None, budget: int = 64 << 20) -> tuple[list[tuple[str, int, int, str]], bool]:
-    """(kind, start, end, path) of every layer, sorted by start, kind and end; and whether all layers were read.  The
-    path of a base finding is empty."""
-    work, seen, out, left = deque([Layer(text or "")]), set(), {}, budget
-    complete = True
-    while work:
-        layer = work.popleft()
+            yield from _opened(layer, data, place, "base64", budget, opaque)
+
+
+def examined(text: str | None, budget: int = 64 << 20) -> tuple[list[tuple[str, int, int, str]], list[tuple[int, int]]]:
+    """(kind, start, end, path) of every layer, sorted by start, kind and end; and the spans of the compressed blobs that
+    weren't read as a whole.  The path of a base finding is empty."""
+    seen, out, opaque, left = set(), {}, [], budget
+
+    def new_layer(layer: Layer) -> bool:
         mark = hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
         if mark in seen:
-            continue
+            return False
         seen.add(mark)
         for kind, start, end in scan(layer.text):
             out.setdefault((kind, *layer.span(start, end)), ">".join(layer.path))
-        for new in _unwrapped(layer, left):
-            if len(new.text) > left:
-                complete = False
-                continue
-            left -= len(new.text)
-            work.append(new)
-    return sorted(((*k, p) for k, p in out.items()), key=lambda f: (f[1], KINDS.index(f[0]), f[2])), complete
+        return True
+
+    first = Layer(text or "")
+    new_layer(first)
+    work, depth = deque([first]), []
+    while work or depth:
+        if not depth:
+            depth.append(_unwrapped(work.popleft(), left, opaque))
+        layer = next(depth[-1], None)
+        if layer is None:
+            depth.pop()
+        elif new_layer(layer):
+            if len(layer.text) <= left:
+                left -= len(layer.text)
+                work.append(layer)
+            else:  # no room to keep it waiting: unwrap it at once
+                depth.append(_unwrapped(layer, left, opaque))
+    return sorted(((*k, p) for k, p in out.items()), key=lambda f: (f[1], KINDS.index(f[0]), f[2])), sorted(set(opaque))
+
+
+def findings(text: str | None, budget: int = 64 << 20) -> tuple[list[tuple[str, int, int, str]], bool]:
+    """The findings of ``examined``, and whether every compressed blob was read as a whole."""
+    found, opaque = examined(text, budget)
+    return found, not opaque
 
 
 def joined(found: list[tuple]) -> str:
@@ -213,13 +274,14 @@ def redacted(text: str | None, mark: str = "[REDACTED]", budget: int = 64 << 20)
     """The text with every finding's span replaced; overlapping spans give one mark.  Null stays null."""
     if text is None:
         return None
-    found, _ = findings(text, budget)
+    found, _ = examined(text, budget)
+    spans = sorted((start, end) for _, start, end, _ in found)
     out, at, reach = [], 0, -1
-    for _, start, end, _ in found:
+    for start, end in spans:
         if start >= reach:
             out += [text[at:start], mark]
         reach = at = max(reach, end)
-    return "".join([*out, text[at:]]) if found else text
+    return "".join([*out, text[at:]]) if spans else text
 
 
 def redact(docs: DataFrame) -> DataFrame:

@@ -184,3 +184,11 @@ def test_licenses_frame(spark, odd_docs, no_docs, docs):
         for name, text in notices.items():
             if text in r.text:
                 assert name in {m.license for m in r.matches}
+
+
+@pytest.mark.parametrize("data", ["\ufeff", "中\u3000文", "a\xa0b", "\u200b", "\u2028", "\x0c", "\x00"], ids=ascii)
+def test_blobs_of_any_text(data):
+    for raw in (f"{data} {KEY} x".encode(), f"{data} {KEY} x".encode("utf-16"), f"caf\xe9 {KEY} x".encode("latin-1"), b"\xff\x00\x81" + KEY.encode()):
+        for blob in (base64.b64encode(raw).decode(), base64.b64encode(gzip.compress(raw)).decode()):
+            assert any(f[0] == "access" for f in secrets.findings(f"see {blob} end")[0])
+            assert not any(f[0] == "access" for f in secrets.findings(secrets.redacted(f"see {blob} end"))[0])
