@@ -2,8 +2,9 @@
 
 Three kinds are looked for in a text: assignments to telling names, access keys, and long runs of hex digits.  Then each
 layer is unwrapped into new layers: percent escapes and Unicode or character escapes over the whole layer, and every
-base64 run (plain or URL-safe) into bytes.  Bytes are read as UTF-8, else
-as Latin-1, and as UTF-16 too if any is zero; gzip, zlib, bzip2 and xz streams that begin anywhere in them, are inflated, all members.  New layers join a worklist until none is left; a layer whose text was seen before in the document is not taken again, which also ends
+base64 run (plain or URL-safe, wrapped lines joined, from each of four phases) into bytes.  Bytes are read as UTF-8, else
+as Latin-1, and as UTF-16 too if any is zero; gzip, zlib, bzip2 and xz streams that begin anywhere in them, or in bytes
+from percent escapes, are inflated, all members.  New layers join a worklist until none is left; a layer whose text was seen before in the document is not taken again, which also ends
 cycles.  Every layer maps each of its characters to a range of the whole text, so a finding at any depth has a span there.
 
 Cases: a null text counts as empty; spans are code points, end exclusive; equal spans of one kind count once; ``budget``
@@ -18,6 +19,7 @@ import bz2
 import hashlib
 import lzma
 import re
+import urllib.parse
 import zlib
 from collections import deque
 from collections.abc import Callable, Iterator
@@ -34,9 +36,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[dD][89abAB][0-9A-Fa-f]{2}\\u[dD][c-fC-F][0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#x[0-9A-Fa-f]{1,6};|&#[0-9]{1,7};)")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:[ \t]*\r?\n[ \t>]*[A-Za-z0-9+/_-]{2,})*={0,2}")
 _IN64 = np.isin(np.arange(256), np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_", np.uint8))
 _PLAIN = bytes.maketrans(b"-_", b"+/")
+_ESCAPED = re.compile(r"(?:%[0-9A-Fa-f]{2}|[!-$&-~])+")
 _MAGIC = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\xfd7zXZ\x00")
 _FORMATS = (("gzip", b"\x1f\x8b", lambda: zlib.decompressobj(31)), ("zlib", b"x", zlib.decompressobj), ("bzip2", b"BZh", bz2.BZ2Decompressor), ("xz", b"\xfd", lambda: lzma.LZMADecompressor(memlimit=256 << 20)))
 WINDOW, OVERLAP = 1 << 20, 1 << 16
@@ -190,13 +193,18 @@ def _unwrapped(layer: Layer, budget: int, opaque: list) -> Iterator[Layer]:
     text = layer.text
     if "%" in text and (new := _replaced(layer, _PERCENT, _percent, "url")):
         yield new
+        for m in _ESCAPED.finditer(text):
+            if "%" in m[0]:
+                for own in {m[0], m[0].replace("+", "%20")}:
+                    if _MAGIC.search(data := urllib.parse.unquote_to_bytes(own)):
+                        yield from _opened(layer, data, lambda start, end, m=m: (np.full(len(start), m.start()), np.full(len(end), m.end())), "url", budget, opaque, False)
     if ("\\" in text or "&#" in text) and (new := _replaced(layer, _ESCAPE, lambda e: [(_character(e), len(e))], "unicode")):
         yield new
     for m in _BASE64.finditer(text):
         codes = np.frombuffer(m[0].encode(), np.uint8)
         at = np.flatnonzero(_IN64[codes])
         body, at = codes[at].tobytes().translate(_PLAIN), at + m.start()
-        for phase in range(1):
+        for phase in range(4):
             own = body[phase:]
             own = own[:-1] if len(own) % 4 == 1 else own
             data = binascii.a2b_base64(own + b"=" * (-len(own) % 4))

@@ -1,8 +1,10 @@
 """Decontamination, secrets and licenses against brute force."""
 
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import re
 import urllib.parse
 import zlib
@@ -192,3 +194,21 @@ def test_blobs_of_any_text(data):
         for blob in (base64.b64encode(raw).decode(), base64.b64encode(gzip.compress(raw)).decode()):
             assert any(f[0] == "access" for f in secrets.findings(f"see {blob} end")[0])
             assert not any(f[0] == "access" for f in secrets.findings(secrets.redacted(f"see {blob} end"))[0])
+
+
+@pytest.mark.parametrize("prefix", ["", "blob/", "v1_", "-", "a-b_c/", "xy"])
+@pytest.mark.parametrize("width", [0, 64, 76])
+@pytest.mark.parametrize("pack", [bytes, gzip.compress, zlib.compress, bz2.compress, lzma.compress, lambda d: gzip.compress(d[:40]) + gzip.compress(d[40:])])
+def test_prefixed_and_wrapped_blobs(prefix, width, pack):
+    raw = ("~~??>> text " * 4 + KEY + " " + "".join(map(chr, range(33, 127)))).encode()
+    blob = base64.b64encode(pack(raw)).decode()
+    blob = "\n".join(blob[k : k + width] for k in range(0, len(blob), width)) if width else blob
+    text = f"see {prefix}{blob} end"
+    hits = [f for f in secrets.findings(text)[0] if f[0] == "access"]
+    assert hits and all(4 <= a < b <= len(text) - 4 for _, a, b, _ in hits)
+    assert not any(f[0] == "access" for f in secrets.findings(secrets.redacted(text))[0])
+
+
+def test_compressed_bytes_in_url_escapes():
+    text = f"q={urllib.parse.quote(gzip.compress(KEY.encode()))} end"
+    assert [f[0] for f in secrets.findings(text)[0]] == ["access"]
