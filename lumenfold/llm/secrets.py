@@ -279,11 +279,12 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def redacted(text: str | None, mark: str = "[REDACTED]", budget: int = 64 << 20) -> str | None:
-    """The text with every finding's span replaced; overlapping spans give one mark.  Null stays null."""
+    """The text with every finding's span replaced; overlapping spans give one mark.  A compressed blob that
+    wasn't read as a whole is replaced altogether.  Null stays null."""
     if text is None:
         return None
-    found, _ = examined(text, budget)
-    spans = sorted((start, end) for _, start, end, _ in found)
+    found, opaque = examined(text, budget)
+    spans = sorted([*((start, end) for _, start, end, _ in found), *opaque])
     out, at, reach = [], 0, -1
     for start, end in spans:
         if start >= reach:

@@ -212,3 +212,16 @@ def test_prefixed_and_wrapped_blobs(prefix, width, pack):
 def test_compressed_bytes_in_url_escapes():
     text = f"q={urllib.parse.quote(gzip.compress(KEY.encode()))} end"
     assert [f[0] for f in secrets.findings(text)[0]] == ["access"]
+
+
+def test_large_streams_are_read_and_broken_ones_removed():
+    bomb = base64.b64encode(gzip.compress(b"a " * 1_500_000 + KEY.encode() + b" b" * 1_500_000)).decode()
+    found, complete = secrets.findings(bomb, budget=100_000)
+    assert [f[0] for f in found] == ["access"] and not complete
+    wide = base64.b64encode(gzip.compress(("é" * 90_000 + KEY).encode())).decode()
+    assert [f[0] for f in secrets.findings(wide, budget=100_000)[0]] == ["access"]
+    both = "x%41" * 30 + "\\u0041" * 30 + base64.b64encode(KEY.encode()).decode()
+    assert "access" in {f[0] for f in secrets.findings(both, budget=60)[0]}
+    cut = base64.b64encode(gzip.compress(bytes(range(256)) * 40)).decode()[:200]
+    assert not secrets.findings(f"see {cut} end")[1]
+    assert secrets.redacted(f"see {cut} end") == "see [REDACTED] end"
