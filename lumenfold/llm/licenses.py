@@ -147,6 +147,12 @@ class Scanner:
                     continue
                 start = max(places[at], reach)
                 pairs = align(words[start : start + width], template)
+                while len(pairs) >= self.least * len(template):  # go on from the first partner until nothing is gained
+                    begin = start + pairs[0][0]
+                    further = align(words[begin : start + pairs[-1][0] + 1 + width], template)
+                    if len(further) <= len(pairs):
+                        break
+                    start, pairs = begin, further
                 if len(pairs) >= self.least * len(template):
                     first, last = start + pairs[0][0], start + pairs[-1][0]
                     found.append((name, spans[first][0], spans[last][1], len(pairs), len(pairs) / len(template)))

@@ -225,3 +225,19 @@ def test_large_streams_are_read_and_broken_ones_removed():
     cut = base64.b64encode(gzip.compress(bytes(range(256)) * 40)).decode()[:200]
     assert not secrets.findings(f"see {cut} end")[1]
     assert secrets.redacted(f"see {cut} end") == "see [REDACTED] end"
+
+
+@pytest.mark.parametrize("name", licenses.TEMPLATES)
+def test_licenses_after_prose(name):
+    prose = "The use of a tool in the world is a matter of the people that make it and of the work to be done, as in any other art. "
+    text = licenses.TEMPLATES[name]
+    for before in ("the a b c d e f g ", prose, prose * 4):
+        body = f"{before}{text} The end of it."
+        found = scanner_of().matches(body)
+        assert [(m[0], m[4]) for m in found] == [(name, 1)]
+        assert licenses.words_of(body[found[0][1] : found[0][2]])[0][-1] == licenses.words_of(text)[0][-1]
+        assert found[0][1] <= len(before)
+
+
+def scanner_of():
+    return licenses.Scanner()
