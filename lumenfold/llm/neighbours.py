@@ -3,7 +3,7 @@
 Vectors get one more component so that all have one norm; then the largest inner product is the smallest distance.  All
 are turned by one random rotation, which spreads a distance evenly over the components.  Rows go to the nearest of
 ``lists`` centroids (fitted on at most ``sample`` rows, the documented bound; every row is indexed).  A query reads a
-``share`` of the lists, nearest first.  Within a list its best so far come from the first rows; for the others the
+``share`` of the lists, nearest first, and goes on to further ones until they hold ``k`` other rows.  Within a list its best so far come from the first rows; for the others the
 distance is summed over blocks of columns, and after each block a row is abandoned if the distance so far, scaled up,
 exceeds the bound of a hypothesis test at the ``confidence`` factor.  What survives is measured on the original vectors,
 in double precision.
@@ -13,7 +13,7 @@ one task; a task keeps each query's best ``k`` of its block, and a window merges
 
 Cases: vectors that are null, zero, hold a null or non-finite component or have another length than most take no part,
 nor do rows without an id; rows with the query's id are its own; ties go to the smaller id; with no valid row the result
-is empty; fewer candidates than ``k`` give all that the probed lists hold.
+is empty; fewer candidates than ``k`` are all given.
 """
 
 from __future__ import annotations
@@ -116,6 +116,18 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, lists: int = 128,
     held = spark.sparkContext.broadcast((turn, centre))  # (size + 1 + lists) * (size + 1) numbers
     reach = max(1, min(len(centre), int(np.ceil(share * len(centre)))))
 
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn, centre = held.value
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(nearest(widened(_matrix(batch.column(0), size), norm, False) @ turn, centre)[:, 0], pa.int32())], ["list"])
+
+    filled = np.zeros(len(centre), np.int64)
+    for r in rows.select("embedding").mapInArrow(assign, "list int").groupBy("list").count().collect():  # a row for each list
+        filled[r["list"]] = r["count"]
+    own = rows.where("asks").select("vec_id").distinct().join(rows, "vec_id").groupBy("vec_id").count().agg(F.max("count")).first()[0] or 1
+    needed = k + own  # rows with the query's id are no candidates
+
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn, centre = held.value
         for batch in batches:
@@ -123,8 +135,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, lists: int = 128,
                 x = _matrix(batch.column(1), size)
                 own = nearest(widened(x, norm, False) @ turn, centre)[:, 0]
                 asks = batch.column(2).to_numpy(zero_copy_only=False)
-                probed = nearest(widened(x, norm, True) @ turn, centre, reach) if asks.any() else np.zeros((len(x), 0), np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.int32()), pa.array([p.tolist() if a else [] for p, a in zip(probed, asks)], pa.list_(pa.int32()))], ["vec_id", "embedding", "list", "probes"])
+                probed = nearest(widened(x, norm, True) @ turn, centre, len(centre)) if asks.any() else np.zeros((len(x), 0), np.int64)
+                enough = np.maximum(reach, (np.cumsum(filled[probed], axis=1) < needed).sum(axis=1) + 1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.int32()), pa.array([p[:e].tolist() if a else [] for p, e, a in zip(probed, enough, asks)], pa.list_(pa.int32()))], ["vec_id", "embedding", "list", "probes"])
 
     placed = save(rows.mapInArrow(place, "vec_id long, embedding array<double>, list int, probes array<int>"), "placed")
     asked = placed.where(F.size("probes") > 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.explode("probes").alias("list"))

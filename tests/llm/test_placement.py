@@ -110,3 +110,10 @@ def test_rotation_keeps_distances(seed):
     x = np.random.default_rng(seed).standard_normal((10, 9))
     turned = x @ neighbours.rotation(9, seed)
     assert np.allclose(((x[:1] - x) ** 2).sum(axis=1), ((turned[:1] - turned) ** 2).sum(axis=1))
+
+
+@pytest.mark.parametrize("n", [5, 15, 21])
+def test_small_tables_give_all_candidates(spark, n):
+    vectors = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").orderBy("vec_id").limit(n)
+    got = neighbours.search(vectors, F.col("vec_id") % 20 == 0).groupBy("query_id").count().collect()
+    assert got and all(r["count"] == min(20, n - 1) for r in got)
