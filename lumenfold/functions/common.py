@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -17,3 +17,10 @@ def text(x: Column | str) -> Column:
 def require(condition: Column, value: Column, message: str) -> Column:
     """``value``, or an error where the condition doesn't hold; null stays null."""
     return F.when(condition.isNull() | condition, value).otherwise(F.raise_error(F.lit(message)))
+
+
+def free_name(name: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has."""
+    while any(name in df.columns for df in frames):
+        name += "_"
+    return name

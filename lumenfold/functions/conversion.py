@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col
+from .common import col, free_name
 
 #: Spark type of each type name of the source model.
 TYPES = {
@@ -99,5 +99,6 @@ def aes_decrypt(x, key) -> Column:
 
 def lookup(df: DataFrame, code_table: DataFrame, returns: str, key: str, by: str, name: str | None = None) -> DataFrame:
     """Adds the code table's value for each key; null without one.  Spark broadcasts the table if it is small."""
-    codes = code_table.select(F.col(key).alias("__key"), F.col(returns).alias(name or returns)).dropDuplicates(["__key"])
-    return df.join(codes, F.col(by) == F.col("__key"), "left").drop("__key")
+    own = free_name("key", df)
+    codes = code_table.select(F.col(key).alias(own), F.col(returns).alias(name or returns)).dropDuplicates([own])
+    return df.join(codes, F.col(by) == F.col(own), "left").drop(own)

@@ -84,9 +84,10 @@ def curtime() -> Column:
     return F.date_format(F.current_timestamp(), "HH:mm:ss")
 
 
-def modifytimezone(ts, target: str, source: str | None = None) -> Column:
-    """The instant that has the wall clock of ``ts`` in the source zone, seen in the target zone."""
-    return F.convert_timezone(F.lit(source) if source else None, F.lit(target), col(ts).cast("timestamp_ntz"))
+def modifytimezone(ts, first: str, second: str | None = None) -> Column:
+    """The wall clock of ``ts`` in the first zone, taken as one of the second zone; with one zone the first is the session's."""
+    own, other = (F.lit(first), F.lit(second)) if second else (F.current_timezone(), F.lit(first))
+    return F.convert_timezone(other, own, col(ts).cast("timestamp_ntz"))
 
 
 def parse_timestamp(s, pattern: str) -> Column:

@@ -160,19 +160,16 @@ def _xml(name: str, value) -> str:
     return f"<{name}{f' xsi:type={chr(34)}{kind}{chr(34)}' if kind else ''}>{escape(_text(value))}</{name}>"
 
 
-def json_to_xml(root: str, doc) -> Column:
+def to_xml(root: str, doc: str) -> str:
     """Elements named after members; a root array repeats the root's name inside it."""
+    value = json.loads(doc)
+    body = f"<{root}>{_xml(root, value)}</{root}>" if isinstance(value, list) else _xml(root, value)
+    return '<?xml version="1.0" ?>' + body.replace(f"<{root}", f'<{root} xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance"', 1)
+
 
+def json_to_xml(root: str, doc) -> Column:
     @F.pandas_udf("string")
     def convert(s: pd.Series) -> pd.Series:
-        head = '<?xml version="1.0" ?>'
-        space = ' xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance"'
-
-        def one(text: str) -> str:
-            value = json.loads(text)
-            body = f"<{root}>{_xml(root, value)}</{root}>" if isinstance(value, list) else _xml(root, value)
-            return head + body.replace(f"<{root}", f"<{root}{space}", 1)
-
-        return s.map(one, na_action="ignore")
+        return s.map(lambda text: to_xml(root, text), na_action="ignore")
 
     return convert(col(doc))

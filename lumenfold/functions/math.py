@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from decimal import ROUND_HALF_UP, Decimal
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column
@@ -80,11 +81,41 @@ def format_number(x, pattern: str) -> Column:
     return F.call_function("format_number", col(x), F.lit(pattern))
 
 
+class NumberPattern(NamedTuple):
+    """What a decimal pattern such as ``$#,##0.00;($#)`` says about texts."""
+
+    prefix: str
+    suffix: str
+    minus: str
+    minus_suffix: str
+    grouped: bool
+    scale: int
+
+
+def number_pattern(pattern: str) -> NumberPattern:
+    """Raises ValueError on a malformed one: one point at most, no comma after it, no # between 0 and the point."""
+    found = re.fullmatch(r"((?:[^#0,.;']|'[^']*')*)([#0,.]+(?:E0+)?)((?:[^#0,.;']|'[^']*')*)(?:;((?:[^#0,.;']|'[^']*')*)[#0,.]*(?:E0+)?((?:[^#0,.;']|'[^']*')*))?", pattern)
+    if not found or not re.fullmatch(r"#*[#,]*[0,]*(\.0*#*)?(E0+)?", found[2]) or not set(found[2]) & set("#0") or re.search(r",(\.|$)", found[2]):
+        raise ValueError(f"malformed pattern {pattern}")
+    plain = lambda t: re.sub(r"'([^']*)'", lambda m: m[1] or "'", t or "")
+    prefix, suffix = plain(found[1]), plain(found[3])
+    minus = (plain(found[4]), plain(found[5])) if found[4] is not None else ("-" + prefix, suffix)
+    return NumberPattern(prefix, suffix, *minus, "," in found[2], 100 if "%" in prefix + suffix else 1000 if "\u2030" in prefix + suffix else 1)
+
+
 def parse_number(s, pattern: str, kind: str) -> Column:
-    """A text written by a decimal pattern: grouping commas and the pattern's fixed text are taken off."""
-    fixed = re.sub(r"[#0,.]", "", pattern)
-    plain = F.translate(F.trim(col(s)), "," + fixed, "")
-    return plain.cast({"integer": "int", "long": "bigint", "double": "double", "float": "float", "biginteger": "decimal(38,0)", "bigdecimal": "decimal(38,18)"}[kind])
+    """A text written by a decimal pattern, read as far as it fits; one that doesn't begin so is an error."""
+    how, s = number_pattern(pattern), col(s)
+    number = ("([0-9,]*" if how.grouped else "([0-9]*") + r"(?:\.[0-9]*)?(?:E-?[0-9]+)?)"
+
+    def sign(prefix: str, suffix: str, factor: int) -> Column:
+        digits = F.replace(F.regexp_extract(s, "^" + re.escape(prefix) + number + re.escape(suffix), 1), F.lit(","), F.lit(""))
+        return F.when(digits != "", digits.cast("decimal(38,18)") * F.lit(factor) / F.lit(how.scale))
+
+    either = F.coalesce(sign(how.prefix, how.suffix, 1), sign(how.minus, how.minus_suffix, -1))
+    target = {"integer": "int", "long": "bigint", "double": "double", "float": "float", "biginteger": "decimal(38,0)", "bigdecimal": "decimal(38,18)"}[kind]
+    value = either.cast(target) if kind in ("double", "float", "bigdecimal") else (F.floor(F.abs(either)) * F.signum(either)).cast(target)
+    return F.when(s.isNull(), F.lit(None).cast(target)).when(either.isNull(), F.raise_error(F.lit(f"{kind}: the text does not fit {pattern}"))).otherwise(value)
 
 
 def avg_exact(x) -> Column:

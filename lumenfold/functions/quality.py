@@ -12,6 +12,12 @@ from pyspark.sql import functions as F
 from .common import col
 
 
+#: Patterns of what counts as valid.
+EMAIL = r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}$"
+SSN = r"^(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}$"
+PHONE = r"^(\+?1[ .-]?)?(\([2-9]\d{2}\)|[2-9]\d{2})[ .-]?[2-9]\d{2}[ .-]?\d{4}$"
+
+
 def digit(s) -> Column:
     return F.regexp_replace(col(s), "[^0-9]", "")
 
@@ -41,15 +47,15 @@ def valid_credit_card(s) -> Column:
 
 
 def valid_ssn(s) -> Column:
-    return col(s).rlike(r"^(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}$")
+    return col(s).rlike(SSN)
 
 
 def valid_phone(s) -> Column:
-    return col(s).rlike(r"^(\+?1[ .-]?)?(\([2-9]\d{2}\)|[2-9]\d{2})[ .-]?[2-9]\d{2}[ .-]?\d{4}$")
+    return col(s).rlike(PHONE)
 
 
 def valid_email(s) -> Column:
-    return col(s).rlike(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}$")
+    return col(s).rlike(EMAIL)
 
 
 def _characters(s: Column) -> Column:

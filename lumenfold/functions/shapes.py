@@ -24,6 +24,7 @@ class Shape(NamedTuple):
     kind: str
     coords: object
     srid: int = 0
+    z: float | None = None  # of a point
 
 
 def from_text(text: str) -> Shape:
@@ -43,12 +44,16 @@ def from_text(text: str) -> Shape:
         at += 1
         return tokens[at - 1]
 
+    height = None
+
     def point() -> tuple[float, float]:
+        nonlocal height
         xy = []
         while at < len(tokens) and tokens[at] not in (",", ")"):
             xy.append(float(take()))
         if not 2 <= len(xy) <= 4:
             raise ValueError(f"not WKT: {text[:60]}")
+        height = xy[2] if len(xy) > 2 else None
         return tuple(xy[:2])
 
     def group(inner) -> list:
@@ -76,7 +81,7 @@ def from_text(text: str) -> Shape:
             return Shape(kind, None if kind == "POINT" else [], srid)
         line = lambda: group(point)
         reader = {"POINT": lambda: group(point)[0], "LINESTRING": line, "POLYGON": lambda: group(line), "MULTIPOINT": lambda: group(single), "MULTILINESTRING": lambda: group(line), "MULTIPOLYGON": lambda: group(lambda: group(line)), "GEOMETRYCOLLECTION": lambda: group(shape)}
-        return Shape(kind, reader[kind](), srid)
+        return Shape(kind, reader[kind](), srid, height if kind == "POINT" else None)
 
     out = shape()
     if at != len(tokens):
@@ -97,7 +102,7 @@ def to_text(g: Shape, extended: bool = False) -> str:
     if not g.coords:
         body = f"{g.kind} EMPTY"
     else:
-        body = g.kind + " " + {"POINT": lambda c: f"({point(c)})", "LINESTRING": line, "POLYGON": lambda c: many(c, line), "MULTIPOINT": lambda c: many(c, lambda p: f"({point(p)})"), "MULTILINESTRING": lambda c: many(c, line), "MULTIPOLYGON": lambda c: many(c, lambda p: many(p, line)), "GEOMETRYCOLLECTION": lambda c: many(c, to_text)}[g.kind](g.coords)
+        body = g.kind + " " + {"POINT": lambda c: f"({point(c)})" if g.z is None else f"({point(c)} {_number(g.z)})", "LINESTRING": line, "POLYGON": lambda c: many(c, line), "MULTIPOINT": lambda c: many(c, lambda p: f"({point(p)})"), "MULTILINESTRING": lambda c: many(c, line), "MULTIPOLYGON": lambda c: many(c, lambda p: many(p, line)), "GEOMETRYCOLLECTION": lambda c: many(c, to_text)}[g.kind](g.coords)
     return f"SRID={g.srid};{body}" if extended else body
 
 
@@ -106,11 +111,12 @@ def to_binary(g: Shape, extended: bool = False, little: bool = True) -> bytes:
     order = bytes([little])
 
     def write(kind: str, c: object, srid: int | None) -> bytes:
-        code = KINDS.index(kind) + 1 | (0x20000000 if srid is not None else 0)
+        height = g.z if kind == "POINT" == g.kind else None
+        code = KINDS.index(kind) + 1 | (0x20000000 if srid is not None else 0) | (0x80000000 if height is not None else 0)
         head = order + struct.pack(e + "I", code) + (struct.pack(e + "I", srid) if srid is not None else b"")
         pts = lambda ps: struct.pack(e + "I", len(ps)) + b"".join(struct.pack(e + "dd", *p) for p in ps)
         if kind == "POINT":
-            return head + struct.pack(e + "dd", *(c or (math.nan, math.nan)))
+            return head + struct.pack(e + "dd", *(c or (math.nan, math.nan))) + (b"" if height is None else struct.pack(e + "d", height))
         if kind == "LINESTRING":
             return head + pts(c)
         if kind == "POLYGON":
@@ -134,11 +140,12 @@ def from_binary(data: bytes) -> Shape:
         e = "<" if read("B")[0] else ">"
         (code,) = read(e + "I")
         srid = read(e + "I")[0] if code & 0x20000000 else 0
-        kind = KINDS[(code & 0xFF) - 1]
-        points = lambda: [read(e + "dd") for _ in range(read(e + "I")[0])]
+        kind = KINDS[(code & 0xFFFF) % 1000 - 1]
+        each = "d" * (2 + bool(code & 0x80000000 or (code & 0xFFFF) // 1000 in (1, 3)) + bool(code & 0x40000000 or (code & 0xFFFF) // 1000 in (2, 3)))
+        points = lambda: [read(e + each)[:2] for _ in range(read(e + "I")[0])]
         if kind == "POINT":
-            p = read(e + "dd")
-            return Shape(kind, None if math.isnan(p[0]) else p, srid)
+            p = read(e + each)
+            return Shape(kind, None if math.isnan(p[0]) else p[:2], srid, p[2] if len(p) > 2 else None)
         if kind == "LINESTRING":
             return Shape(kind, points(), srid)
         if kind == "POLYGON":
@@ -494,6 +501,32 @@ def great_circle(p: tuple, q: tuple) -> float:
     return 2 * EARTH * math.asin(min(1.0, math.sqrt(h)))
 
 
+def _great_circle_segment(p: tuple, a: tuple, b: tuple) -> float:
+    """Metres from a place to the nearest one of an arc."""
+    def vector(q: tuple) -> tuple[float, float, float]:
+        lon, lat = math.radians(q[0]), math.radians(q[1])
+        return math.cos(lat) * math.cos(lon), math.cos(lat) * math.sin(lon), math.sin(lat)
+
+    cross = lambda u, v: (u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0])
+    dot = lambda u, v: sum(x * y for x, y in zip(u, v))
+    u, v, w = vector(a), vector(b), vector(p)
+    pole = cross(u, v)
+    size = math.sqrt(dot(pole, pole))
+    if size and dot(cross(pole, u), w) >= 0 and dot(cross(v, pole), w) >= 0:
+        return EARTH * abs(math.asin(max(-1.0, min(1.0, dot(pole, w) / size))))
+    return min(great_circle(p, a), great_circle(p, b))
+
+
+def geodetic_distance(a: Shape, b: Shape) -> float | None:
+    """Metres on a sphere between the nearest places of two geometries; areas and lines count with all that they cover."""
+    if not points(a) or not points(b):
+        return None
+    if intersects(a, b):
+        return 0.0
+    near = [great_circle(p, q) for p in points(a) for q in points(b)]
+    return min(near + [_great_circle_segment(p, *s) for p in points(a) for s in segments(b)] + [_great_circle_segment(p, *s) for p in points(b) for s in segments(a)])
+
+
 def geodetic_length(g: Shape) -> float:
     return sum(great_circle(a, b) for p in parts(g) if p.kind == "LINESTRING" for a, b in pairwise(p.coords))
 
