@@ -1,7 +1,7 @@
 """Changes to tables as new versions: every statement gives a new DataFrame, old ones stay readable.
 
-A version is a plan over the one before.  After ``cut_every`` changes the rows are written by checkpoint(), so plans stay
-short and a lost executor doesn't replay the history.
+A version is a plan over the one before.  After ``cut_every`` changes the rows are written into the shared folder, so plans
+stay short and a lost executor doesn't replay the history.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import cut
+
 
 def _expr(x: Column | str) -> Column:
     return F.expr(x) if isinstance(x, str) else x
@@ -47,8 +49,7 @@ class VersionedTable:
 
     def _set(self, df: DataFrame) -> VersionedTable:
         self.changes += 1
-        context = df.sparkSession.sparkContext
-        self.df = df.checkpoint() if self.changes % self.cut_every == 0 and context.getCheckpointDir() else df
+        self.df = cut(df, "version") if self.changes % self.cut_every == 0 else df
         return self
 
     def insert(self, rows: DataFrame) -> VersionedTable:
@@ -76,12 +77,12 @@ class VersionedTable:
 
     def batch(self, statements: Sequence[Callable[[VersionedTable], object]]) -> VersionedTable:
         """All statements or none."""
-        before = self.df
+        before = self.df, self.changes, dict(self.saved)
         try:
             for s in statements:
                 s(self)
         except Exception:
-            self.df = before
+            self.df, self.changes, self.saved = before
             raise
         return self
 

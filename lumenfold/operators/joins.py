@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.common import free_name
+
 
 def dependent_join(independent: DataFrame, dependent: DataFrame, key: str, how: str = "inner", max_keys: int = 10_000) -> DataFrame:
     """Joins after sending the independent side's keys to the other source.
@@ -47,7 +49,8 @@ def union_partition_join(left: Sequence[tuple[object, DataFrame]], right: Sequen
 def lateral_topk(left: DataFrame, right: DataFrame, on: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
     """For each left row the first k of its right rows: LATERAL (SELECT ... ORDER BY ... LIMIT k) without a nested loop.
     The ranks are cut before the join, and Spark limits each group before it shuffles."""
-    ranked = right.withColumn("__rank", F.row_number().over(Window.partitionBy(*on).orderBy(*order))).where(F.col("__rank") <= k).drop("__rank")
+    rank = free_name("rank", right)
+    ranked = right.withColumn(rank, F.row_number().over(Window.partitionBy(*on).orderBy(*order))).where(F.col(rank) <= k).drop(rank)
     return left.join(ranked, list(on))
 
 
@@ -63,5 +66,6 @@ def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], parts: int
     """Inner join for keys that hold much of the left side: its rows are dealt over ``parts`` salts, the right side is
     repeated for each.  AQE splits skewed partitions of plain joins by itself; this is for plans where it can't."""
     salt = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    dealt = left.withColumn("__salt", F.pmod(F.xxhash64(*[c for c in left.columns]), F.lit(parts)).cast("int"))
-    return dealt.join(right.withColumn("__salt", salt), [*on, "__salt"]).drop("__salt")
+    name = free_name("salt", left, right)
+    dealt = left.withColumn(name, F.pmod(F.xxhash64(*[c for c in left.columns]), F.lit(parts)).cast("int"))
+    return dealt.join(right.withColumn(name, salt), [*on, name]).drop(name)

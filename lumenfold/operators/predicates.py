@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.common import col
+from ..functions.common import col, free_name
 
 
 def quantified(df: DataFrame, x: str, op: str, quantifier: str, sub: DataFrame, value: str, name: str) -> DataFrame:
@@ -20,23 +20,24 @@ def quantified(df: DataFrame, x: str, op: str, quantifier: str, sub: DataFrame,
     op = {"!=": "<>"}.get(op, op)
     if op not in ("=", "<>", "<", "<=", ">", ">=") or not some and quantifier.upper() != "ALL":
         raise ValueError(f"{op} {quantifier}")
-    facts = sub.agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"), F.count(F.lit(1)).alias("__n"), F.count(value).alias("__known"))
-    out = df.crossJoin(F.broadcast(facts))  # one row
+    facts, key = free_name("facts", df), free_name("key", df)
+    one = sub.agg(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count(F.lit(1)).alias("n"), F.count(value).alias("known")).alias(facts))
+    lo, hi, n, known = (F.col(f"{facts}.{k}") for k in ("lo", "hi", "n", "known"))
+    out = df.crossJoin(F.broadcast(one))  # one row
     v = F.col(x)
-    holes = F.col("__known") < F.col("__n")
+    holes = known < n
     if (op == "=") == some and op in ("=", "<>"):
-        keys = sub.where(F.col(value).isNotNull()).select(F.col(value).alias("__key")).distinct()
-        out = out.join(keys, v == F.col("__key"), "left")
-        found = F.when(F.col("__n") == 0, F.lit(False)).when(v.isNull(), F.lit(None).cast("boolean")).when(F.col("__key").isNotNull(), F.lit(True)).when(holes, F.lit(None).cast("boolean")).otherwise(F.lit(False))
-        return out.withColumn(name, found if some else ~found).drop("__lo", "__hi", "__n", "__known", "__key")
-    lo, hi = F.col("__lo"), F.col("__hi")
+        keys = sub.where(F.col(value).isNotNull()).select(F.col(value).alias(key)).distinct()
+        out = out.join(keys, v == F.col(key), "left")
+        found = F.when(n == 0, F.lit(False)).when(v.isNull(), F.lit(None).cast("boolean")).when(F.col(key).isNotNull(), F.lit(True)).when(holes, F.lit(None).cast("boolean")).otherwise(F.lit(False))
+        return out.withColumn(name, found if some else ~found).drop(facts, key)
     decided = {
         ("<", True): v < hi, ("<=", True): v <= hi, (">", True): v > lo, (">=", True): v >= lo, ("<>", True): (v != lo) | (v != hi),
         ("<", False): v < lo, ("<=", False): v <= lo, (">", False): v > hi, (">=", False): v >= hi, ("=", False): (v == lo) & (v == hi),
     }[op, some]
-    decided = F.when(F.col("__n") == 0, F.lit(not some)).otherwise(decided)
-    decided = F.when((F.col("__n") > 0) & holes & ((~decided if some else decided) | decided.isNull()), F.lit(None).cast("boolean")).otherwise(decided)
-    return out.withColumn(name, decided).drop("__lo", "__hi", "__n", "__known")
+    decided = F.when(n == 0, F.lit(not some)).otherwise(decided)
+    decided = F.when((n > 0) & holes & ((~decided if some else decided) | decided.isNull()), F.lit(None).cast("boolean")).otherwise(decided)
+    return out.withColumn(name, decided).drop(facts)
 
 
 def similar_pattern(pattern: str, escape: str | None = None) -> str:

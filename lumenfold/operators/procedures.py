@@ -7,14 +7,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..catalog import Catalog
 from ..sqlcompat import rewrite
 
 
 class Procedures:
-    """Named procedures: Python functions of a session, or SQL scripts (BEGIN ... END) with :name parameters."""
+    """Named procedures: Python functions of a session, or SQL scripts (BEGIN ... END) with :name parameters.  With a
+    catalog, scripts and dynamic SQL see its names as the session's roles may, and no paths."""
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.known = spark, {}
+    def __init__(self, spark: SparkSession, catalog: Catalog | None = None):
+        self.spark, self.known, self.catalog = spark, {}, catalog
         self.variables: dict[str, object] = {}
 
     def create(self, name: str, body: Callable[..., DataFrame] | str) -> None:
@@ -27,11 +29,14 @@ class Procedures:
     def script(self, text: str, **args) -> DataFrame:
         """Runs a script; the result is its last query's.  Control flow is Spark's: IF, CASE, WHILE, REPEAT, LOOP, FOR,
         LEAVE, ITERATE, DECLARE, SET, handlers and SIGNAL."""
-        return self.spark.sql(text, args=args or None)
+        if self.catalog is None:
+            return self.spark.sql(text, args=args or None)
+        with self.catalog.bound(text) as own:
+            return self.spark.sql(own, args=args or None)
 
     def execute_immediate(self, text: str, args: dict | list | None = None, into: str | None = None) -> DataFrame:
         """Dynamic SQL; with ``into`` the rows become a temporary view of that name."""
-        out = self.spark.sql(rewrite(text), args=args)
+        out = self.spark.sql(rewrite(text), args=args) if self.catalog is None else self.catalog.sql(text, args)
         if into:
             out.createOrReplaceTempView(into)
         return out
@@ -53,18 +58,20 @@ class Procedures:
 
 
 class ResultCache:
-    """Results by query text and scope.  What is kept is a cached DataFrame, which Spark spills to disk as it must."""
+    """Results by query text, scope and, with a catalog, user and roles, whose policies they obey.  What is kept is a
+    cached DataFrame, which Spark spills to disk as it must."""
 
-    def __init__(self, spark: SparkSession, ttl: float = 3600, clock: Callable[[], float] = time.time):
-        self.spark, self.ttl, self.clock, self.kept = spark, ttl, clock, {}
+    def __init__(self, spark: SparkSession, ttl: float = 3600, clock: Callable[[], float] = time.time, catalog: Catalog | None = None):
+        self.spark, self.ttl, self.clock, self.kept, self.catalog = spark, ttl, clock, {}, catalog
 
     def sql(self, text: str, ttl: float | None = None, scope: str = "session") -> DataFrame:
-        key = scope, " ".join(text.split())
+        who = (self.catalog.user, *sorted(self.catalog.roles)) if self.catalog else ()
+        key = scope, who, " ".join(text.split())
         df, until = self.kept.get(key, (None, 0))
         if df is None or self.clock() >= until:
             if df is not None:
                 df.unpersist()
-            df = self.spark.sql(rewrite(text)).cache()
+            df = (self.catalog.sql(text) if self.catalog else self.spark.sql(rewrite(text))).cache()
             self.kept[key] = df, self.clock() + (self.ttl if ttl is None else ttl)
         return df
 

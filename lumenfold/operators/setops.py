@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import scratch
+
 
 def limit_offset(df: DataFrame, limit: int | None = None, offset: int = 0) -> DataFrame:
     """OFFSET m ROWS FETCH NEXT n ROWS ONLY."""
@@ -21,36 +25,32 @@ def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
     return df.orderBy(*order).limit(k)
 
 
-def recursive_union(seed: DataFrame, step: Callable[[DataFrame], DataFrame], distinct: bool = True, max_rounds: int = 10_000) -> DataFrame:
-    """WITH RECURSIVE seed UNION [ALL] step: semi-naive rounds until one adds no row.
+def recursive_union(seed: DataFrame, step: Callable[[DataFrame], DataFrame], distinct: bool = True, max_rounds: int | None = None) -> DataFrame:
+    """WITH RECURSIVE seed UNION [ALL] step: semi-naive rounds until one adds no row, however many that takes unless
+    ``max_rounds`` says how many may.
 
     ``step`` gets the rows that the round before added.  With ``distinct`` a row that is there already isn't added again.
-    Lineage is cut in every round by checkpoint() in the shared folder that spark.checkpoint.dir names.
+    A round is one job: its rows are written into the shared folder (see ``storage``), and all rounds are read as one table.
     """
-    spark = seed.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lumenfold-"))
-    new = (seed.distinct() if distinct else seed).checkpoint()
-    parts = [new]
-    for _ in range(max_rounds):
-        total = parts[0]
-        for p in parts[1:]:
-            total = total.unionByName(p)
-        if new.isEmpty():
-            return total
-        if len(parts) > 32:  # a plan of so many branches is written as one
-            parts = [total := total.checkpoint()]
-        more = step(new).select(*(F.col(c).cast(t).alias(c) for c, t in seed.dtypes))
+    spark, names = seed.sparkSession, seed.columns
+    plain = [f"c{k}" for k in range(len(names))]
+    path, types, n = scratch(spark, "recursion"), [t for _, t in seed.dtypes], 0
+    shape = ", ".join(f"{c} {t}" for c, t in zip(plain, types))
+
+    def read(*rounds: str) -> DataFrame:
+        return spark.read.schema(shape).parquet(*rounds).toDF(*names)
+
+    new = (seed.distinct() if distinct else seed).toDF(*plain)
+    while True:
+        new.write.parquet(f"{path}/{n}")
+        written = read(f"{path}/{n}")
+        if written.isEmpty():
+            return read(*(f"{path}/{k}" for k in range(n + 1)))
+        if n == max_rounds:
+            raise RuntimeError(f"recursion didn't end after {max_rounds} rounds")
+        more = step(written).toDF(*plain).select(*(F.col(c).cast(t).alias(c) for c, t in zip(plain, types)))
         if distinct:
-            same = [more[c].eqNullSafe(total[c]) for c in seed.columns]
-            condition = same[0]
-            for c in same[1:]:
-                condition = condition & c
-            more = more.distinct().join(total, condition, "left_anti")
-        new = more.checkpoint()
-        parts.append(new)
-    raise RuntimeError(f"recursion didn't end after {max_rounds} rounds")
+            total = read(*(f"{path}/{k}" for k in range(n + 1))).toDF(*plain)
+            same = [more[c].eqNullSafe(total[c]) for c in plain]
+            more = more.distinct().join(total, reduce(and_, same), "left_anti")
+        new, n = more, n + 1

@@ -18,8 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from ..functions.common import free_name
 from ..functions.conversion import TYPES
-from ..functions.json import _text, select
+from ..functions.json import _PLAIN, _text, select
 
 Spec = Sequence[tuple]
 
@@ -143,7 +144,44 @@ def text_rows(text: str, columns: Spec, delimiter: str = ",", row_delimiter: str
         yield row
 
 
+#: What Python counts as white space.
+_SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
+def texttable_native(df: DataFrame, column: str, columns: Spec, delimiter: str = ",", row_delimiter: str = "\n", header: int | None = None, skip: int = 0) -> DataFrame:
+    """Delimited text without quotes or escapes, in Catalyst alone."""
+    lines = F.split(F.col(column), re.escape(row_delimiter), -1)
+    if row_delimiter == "\n":
+        lines = F.transform(lines, lambda x: F.regexp_replace(x, r"\r+$", ""))
+    cells = lambda x: F.split(x, re.escape(delimiter), -1)
+    first = skip + (header or 0)
+    data = F.filter(F.slice(lines, first + 1, F.greatest(F.size(lines) - first, F.lit(0))), lambda x: x != "")
+    n, line, names = free_name("n", df), free_name("line", df), free_name("names", df)
+    named = df.withColumn(names, F.transform(cells(F.get(lines, F.lit(first - 1))), lambda x: F.lower(F.regexp_replace(x, f"^{_SPACE}+|{_SPACE}+$", ""))) if header else F.lit(None))
+    kept = [c for c in df.columns if c != column]
+    flat = named.select(*kept, names, F.posexplode(F.transform(data, cells)).alias(n, line))
+    out, k = [], 0
+    for c in columns:
+        if c[1] == "ordinality":
+            out.append((F.col(n) + 1).alias(c[0]))
+            continue
+        if header:
+            wanted = _options(c).get("header", c[0]).lower()
+            at = F.array_position(names, wanted)
+            place = F.when(at > 0, at - 1).otherwise(F.raise_error(F.lit(f"the header has no {wanted}"))).cast("int")
+        else:
+            place, k = F.lit(k), k + 1
+        cell = F.get(F.col(line), place)
+        bare = cell if _options(c).get("no_trim") else F.nullif(F.regexp_replace(cell, f"^{_SPACE}+|{_SPACE}+$", ""), F.lit(""))
+        out.append(bare.cast(_type(c[1])).alias(c[0]))
+    return flat.select(*kept, *out)
+
+
 def texttable(df: DataFrame, column: str, columns: Spec, **how) -> DataFrame:
+    """Stays in Catalyst where nothing is quoted, escaped, selected or of fixed width."""
+    plain = how.get("quote", '"') is None and how.get("escape") is None and how.get("selector") is None and how.get("row_delimiter", "\n")
+    if plain and not any({"width", "selector"} & _options(c).keys() for c in columns):
+        return texttable_native(df, column, columns, **{k: v for k, v in how.items() if k in ("delimiter", "row_delimiter", "header", "skip")})
     return expand(df, column, columns, lambda text: text_rows(text, columns, **how))
 
 
@@ -167,16 +205,28 @@ def json_rows(doc: str, row_path: str, columns: Spec, null_leaf: bool = True) ->
 
 
 def jsontable(df: DataFrame, column: str, row_path: str, columns: Spec, null_leaf: bool = True) -> DataFrame:
+    """Stays in Catalyst where all paths are plain member and index steps and may lead nowhere."""
+    if null_leaf and all(_PLAIN.fullmatch(p) for p in (row_path, *(_options(c).get("path", f"$.{c[0]}").replace("@", "$", 1) for c in columns if c[1] != "ordinality"))):
+        return jsontable_native(df, column, columns, row_path)
     return expand(df, column, columns, lambda doc: json_rows(doc, row_path, columns, null_leaf))
 
 
-def jsontable_native(df: DataFrame, column: str, columns: Spec) -> DataFrame:
-    """A JSON object as one row, or an array of objects as a row each, without Python."""
-    kind = F.when(F.ltrim(F.col(column)).startswith("["), F.col(column)).otherwise(F.concat(F.lit("["), F.col(column), F.lit("]")))
-    items = F.from_json(kind, "array<string>")
-    flat = df.select(*(c for c in df.columns if c != column), F.posexplode(items).alias("__n", "__item"))
-    values = [(F.col("__n") + 1).cast("int").alias(c[0]) if c[1] == "ordinality" else F.get_json_object("__item", _options(c).get("path", f"$.{c[0]}")).cast(_type(c[1])).alias(c[0]) for c in columns]
-    return flat.select(*(c for c in df.columns if c != column), *values)
+def jsontable_native(df: DataFrame, column: str, columns: Spec, row_path: str = "$") -> DataFrame:
+    """The object at a path as one row, or its array of objects as a row each, without Python."""
+    n, item = free_name("n", df), free_name("item", df)
+    found = F.col(column) if row_path == "$" else F.get_json_object(column, row_path)
+    kind = F.when(F.ltrim(found).startswith("["), found).otherwise(F.concat(F.lit("["), found, F.lit("]")))
+    kept = [c for c in df.columns if c != column]
+    flat = df.select(*kept, F.posexplode(F.from_json(kind, "array<string>")).alias(n, item))
+    out = []
+    for c in columns:
+        if c[1] == "ordinality":
+            out.append((F.col(n) + 1).cast("int").alias(c[0]))
+            continue
+        value = F.get_json_object(item, _options(c).get("path", f"$.{c[0]}").replace("@", "$", 1))
+        value = F.coalesce(value, F.lit(_options(c)["default"])) if "default" in _options(c) else value
+        out.append(value.cast(_type(c[1])).alias(c[0]))
+    return flat.select(*kept, *out)
 
 
 def _strings(node: ET.Element, path: str) -> list[str]:
@@ -213,8 +263,9 @@ def xmltable(df: DataFrame, column: str, row_path: str, columns: Spec) -> DataFr
 def arraytable(df: DataFrame, array: str | Column, columns: Spec, rows: bool = False, keep: Sequence[str] = ()) -> DataFrame:
     """An array as one row of columns, or with ``rows`` an array of arrays as a row each; missing places are null."""
     array = F.col(array) if isinstance(array, str) else array
-    base = df.select(*keep, (F.explode(array) if rows else array).alias("__row"))
-    return base.where(F.col("__row").isNotNull()).select(*keep, *(F.try_element_at("__row", F.lit(k)).cast(_type(c[1])).alias(c[0]) for k, c in enumerate(columns, 1)))
+    row = free_name("row", df)
+    base = df.select(*keep, (F.explode(array) if rows else array).alias(row))
+    return base.where(F.col(row).isNotNull()).select(*keep, *(F.try_element_at(row, F.lit(k)).cast(_type(c[1])).alias(c[0]) for k, c in enumerate(columns, 1)))
 
 
 def array_iterate(df: DataFrame, array: str, name: str = "col") -> DataFrame:
