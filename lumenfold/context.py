@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import platform
 import socket
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,17 @@ from .catalog import Catalog
 from .operators.matview import MaterializedViews
 
 
+def _literal(f: Callable) -> Callable[..., Column]:
+    """As a column; with ``plain`` the value itself."""
+
+    @wraps(f)
+    def method(self, *args, plain: bool = False):
+        value = f(self, *args)
+        return value if plain else F.lit(value)
+
+    return method
+
+
 class SessionContext:
     """Values are fixed when a plan is made, as literals, so Catalyst folds them.  Environment variables are only read
     by the names in ``readable``."""
@@ -21,6 +33,19 @@ class SessionContext:
     def __init__(self, catalog: Catalog, views: MaterializedViews | None = None, payload: object = None, readable: Iterable[str] = ()):
         self.catalog, self.views, self.payload, self.readable = catalog, views, payload, set(readable)
         self.variables: dict[str, object] = {}
+        catalog.context = self
+
+    def value_of(self, name: str, args: list) -> object:
+        """The functions of the session in SQL text; NotImplemented for others."""
+        calls = {
+            ("session_id", 0): self.session_id, ("node_id", 0): self.node_id, ("commandpayload", 0): self.command_payload, ("commandpayload", 1): self.command_payload, ("env_var", 1): self.env_var, ("env", 1): self.env_var,
+            ("sys_prop", 1): self.sys_prop, ("session_get", 1): self.session_get, ("mvstatus", 1): self.mv_status, ("mvstatus", 2): self.mv_status,
+        }
+        if name == "session_set" and len(args) == 2:
+            return self.session_set(*args)
+        if (name, len(args)) not in calls:
+            return self.catalog.value_of(name, args)
+        return calls[name, len(args)](*(args[-1:] if name == "mvstatus" else args), plain=True)
 
     def user(self) -> Column:
         return F.lit(self.catalog.user)
@@ -28,26 +53,31 @@ class SessionContext:
     def has_role(self, role: str) -> Column:
         return F.lit(self.catalog.has_role(role))
 
-    def session_id(self) -> Column:
-        return F.lit(self.catalog.spark.sparkContext.applicationId)
+    @_literal
+    def session_id(self) -> object:
+        return self.catalog.spark.sparkContext.applicationId
 
-    def node_id(self) -> Column:
-        return F.lit(socket.gethostname())
+    @_literal
+    def node_id(self) -> object:
+        return socket.gethostname()
 
-    def command_payload(self, key: str | None = None) -> Column:
+    @_literal
+    def command_payload(self, key: str | None = None) -> object:
         """The payload as text, or one property of it."""
         value = self.payload.get(key) if key and isinstance(self.payload, dict) else None if key else self.payload
-        return F.lit(None if value is None else str(value))
+        return None if value is None else str(value)
 
-    def env_var(self, name: str) -> Column:
+    @_literal
+    def env_var(self, name: str) -> object:
         if name not in self.readable:
             raise PermissionError(f"{name} isn't readable")
-        return F.lit(os.environ.get(name))
+        return os.environ.get(name)
 
-    def sys_prop(self, name: str) -> Column:
+    @_literal
+    def sys_prop(self, name: str) -> object:
         """A Spark setting, or one of os.name, os.version, user.timezone."""
         own = {"os.name": platform.system(), "os.version": platform.release(), "user.timezone": self.catalog.spark.conf.get("spark.sql.session.timeZone")}
-        return F.lit(own.get(name, self.catalog.spark.conf.get(name, None)))
+        return own.get(name, self.catalog.spark.conf.get(name, None))
 
     def session_set(self, name: str, value: object) -> object:
         """Gives the value from before."""
@@ -55,16 +85,18 @@ class SessionContext:
         self.variables[name] = value
         return before
 
-    def session_get(self, name: str) -> Column:
-        return F.lit(self.variables.get(name))
+    @_literal
+    def session_get(self, name: str) -> object:
+        return self.variables.get(name)
 
-    def mv_status(self, name: str) -> Column:
+    @_literal
+    def mv_status(self, name: str) -> object:
         """Whether the materialized view can be read as it is; an error if it can't."""
         if self.views is None or name not in self.views.status:
             raise KeyError(name)
         if self.views.stale(name):
             raise RuntimeError(f"the materialized view {name} isn't loaded or too old")
-        return F.lit(1)
+        return 1
 
 
 def column_statistics(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
