@@ -1,6 +1,6 @@
 """Named queries over the test tables, each with its SQL oracle where SQL can express it."""
 
-from . import analytic, relational, scalar, structural
+from . import analytic, dialect, relational, scalar, structural
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "analytic", "relational", "scalar", "structural"]
+__all__ = ["ORACLES", "QUERIES", "analytic", "dialect", "relational", "scalar", "structural"]
