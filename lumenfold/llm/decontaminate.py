@@ -6,8 +6,9 @@ places where a match could start at all.  Every suffix of every item is then sea
 equal places is every verbatim occurrence of the suffix's first ``window`` words.  Occurrences one word further on in
 both texts continue a match, so joining them along diagonals gives the longest verbatim matches and where they are.
 
-The benchmark is a stated query set.  It is shipped in blocks of at most ``block_bytes`` of text each; with one block
-no row is shuffled, with several the blocks' findings of a document meet by its id and row.
+The benchmark is a stated query set.  The driver numbers its words and cuts its windows in blocks of at most
+``block_bytes`` of text each, one after the other, and each block is shipped as arrays, once to a worker.  With one block
+no row is shuffled; with several the blocks' findings of a document meet by its row.
 
 Cases: a null text or item has no words; an item of fewer than ``window`` words is searched for as a whole; repeated
 items with one id count once; repeated documents are judged one by one; empty tables give no findings.
@@ -41,17 +42,19 @@ class Benchmark:
         for name, text in items:
             if words := words_of(text):
                 self.names.append(name)
-                self.texts.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.int64))
-        by_length: dict[int, list[tuple[int, int]]] = {}
-        for k, ids in enumerate(self.texts):
-            n = min(window, len(ids))
-            by_length.setdefault(n, []).extend((k, at) for at in range(len(ids) - n + 1))
+                self.texts.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], ">u4"))
         #: For each window length: item numbers, places in the items, and the windows as comparable bytes.
         self.windows = {}
-        for n, places in by_length.items():
-            k, at = np.array(places).T
-            self.windows[n] = k, at, _keys(np.stack([self.texts[i][j : j + n] for i, j in places]))
+        lengths = np.array([min(window, len(t)) for t in self.texts], np.int64)
+        for n in np.unique(lengths).tolist():
+            own = np.flatnonzero(lengths == n)
+            count = np.array([len(self.texts[k]) - n + 1 for k in own], np.int64)
+            ids = np.concatenate([self.texts[k] for k in own])
+            at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            first = np.cumsum([0, *(len(self.texts[k]) for k in own[:-1])])
+            self.windows[n] = np.repeat(own, count), at, _keys(np.lib.stride_tricks.sliding_window_view(ids, n)[np.repeat(first, count) + at])
         self.least = min(self.windows, default=0)
+        del self.texts
 
 
 def _keys(rows: np.ndarray) -> np.ndarray:
@@ -160,15 +163,15 @@ def _shards(batch: pa.RecordBatch, column: int, bench: Benchmark, words: int) ->
 FOUND = "n_words long, spans array<struct<start: long, end: long>>, items array<string>, matches array<struct<item_id: string, item_start: long, doc_start: long, words: long>>"
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = 8, block_bytes: int = 16 << 20, shard_words: int = 500_000) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, window: int = 8, block_bytes: int = 8 << 20, shard_words: int = 500_000) -> DataFrame:
     """(doc_id, n_words, n_hit, items, matches) for each document; ``matches`` holds its longest verbatim matches."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spark, parts = docs.sparkSession, []
     for block in blocks_of(benchmark, block_bytes):
-        held = spark.sparkContext.broadcast(block)  # at most block_bytes
+        held = spark.sparkContext.broadcast(Benchmark(block, window))  # a block's windows, some ten times block_bytes at most
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            bench = Benchmark(held.value, window)
+            bench = held.value
             for batch in batches:
                 for first, rows in _shards(batch, 1, bench, shard_words):
                     n, spans, items, matches = zip(*rows)
@@ -189,8 +192,9 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = 8, block_bytes: in
         part = rows.select(F.col("row").alias("doc_id"), "text").mapInArrow(run, schema)
         whole = part if whole is None else whole.unionByName(part)
     flat = whole.groupBy(F.col("doc_id").alias("row")).agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("matches"))).alias("matches"))
-    count = F.udf(lambda spans: covered([(s["start"], s["end"]) for s in spans]), "long")
-    return rows.select("row", "doc_id").join(flat, "row").select("doc_id", "n_words", count("spans").alias("n_hit"), "items", "matches")
+    step = lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(s["start"], a["reach"]))).cast("long").alias("n"), F.greatest(a["reach"], s["end"]).alias("reach"))
+    hit = F.aggregate(F.array_sort("spans"), F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("reach")), step, lambda a: a["n"])
+    return rows.select("row", "doc_id").join(flat, "row").select("doc_id", "n_words", hit.alias("n_hit"), "items", "matches")
 
 
 def digest(items: list[str]) -> str:
@@ -203,20 +207,36 @@ def report(docs: DataFrame, benchmark: DataFrame, min_items: int = 2, **how) ->
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.size("items") >= min_items).alias("contaminated"))
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, min_items: int = 1, window: int = 8, block_bytes: int = 16 << 20, shard_words: int = 500_000) -> DataFrame:
+def remove(docs: DataFrame, benchmark: DataFrame, min_items: int = 1, window: int = 8, block_bytes: int = 8 << 20, shard_words: int = 500_000) -> DataFrame:
     """The documents, with all columns, in which fewer than ``min_items`` items occur."""
-    where = docs.columns.index("text")
-    spark, schema = docs.sparkSession, docs.schema
-    blocks = [spark.sparkContext.broadcast(b) for b in blocks_of(benchmark, block_bytes)]
+    spark, where = docs.sparkSession, docs.columns.index("text")
+    blocks = [spark.sparkContext.broadcast(Benchmark(b, window)) for b in blocks_of(benchmark, block_bytes)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        benches = (lambda: (Benchmark(b.value, window) for b in blocks)) if len(blocks) > 1 else (lambda one=Benchmark(blocks[0].value, window): [one])
+    def items_of(batch: pa.RecordBatch, column: int, bench: Benchmark) -> Iterator[tuple[int, list[str]]]:
+        for first, rows in _shards(batch, column, bench, shard_words):
+            for i, (_, _, found, _) in enumerate(rows):
+                yield first + i, found
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            items: list[set] = [set() for _ in range(batch.num_rows)]
-            for bench in benches():
-                for first, rows in _shards(batch, where, bench, shard_words):
-                    for i, (_, _, found, _) in enumerate(rows):
-                        items[first + i].update(found)
-            yield batch.filter(pa.array([len(s) < min_items for s in items]))
-
-    return docs.mapInArrow(run, schema)
+            yield batch.filter(pa.array([len(found) < min_items for _, found in items_of(batch, where, blocks[0].value)], pa.bool_()))
+
+    if len(blocks) == 1:
+        return docs.mapInArrow(keep, docs.schema)
+    from .common import save
+
+    row = "row_number"
+    while row in docs.columns:
+        row += "_"
+    rows, found = save(docs.withColumn(row, F.monotonically_increasing_id()), "documents"), None
+    for held in blocks:
+
+        def name(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                hits = [(batch.column(0)[i].as_py(), item) for i, own in items_of(batch, 1, held.value) for item in own]
+                yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in hits], pa.int64()), pa.array([h[1] for h in hits], pa.string())], ["row", "item"])
+
+        part = rows.select(row, F.col("text").cast("string").alias("text")).mapInArrow(name, "row long, item string")
+        found = part if found is None else found.unionByName(part)
+    bad = found.groupBy("row").agg(F.count_distinct("item").alias("n")).where(F.col("n") >= min_items).select(F.col("row").alias(row))
+    return rows.join(bad, row, "left_anti").select(docs.columns)
