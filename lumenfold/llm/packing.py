@@ -6,9 +6,9 @@ weighted norm of what would be left (``rule="norm"``, least wins) or by the weig
 (``rule="dot"``, greatest wins); where none fits, a bin opens.
 
 Pieces of one length are alike, and so are bins of one residual, so the rule runs on counts: at most ``capacity``
-length classes against classes of bins, in the driver, whatever the number of documents.  A residual that can't bind
-any more is cut to what still could (no more places than tokens left, no more cost than the square of those), which
-keeps the bin classes few; a cost that does bind is rounded down to 1/64 of its capacity, which never overfills.
+length classes against classes of bins, in the driver, whatever the number of documents.  The cost that is left is
+rounded down to 1/``grains`` of its capacity, but not below the square of the tokens left if it is more, which keeps the
+bin classes few, never overfills and shuts out no piece that the tokens left have room for.
 The plan says for each length: pieces with ranks [lo, lo + n) go to bins [bin, bin + n) at one offset.  Its size depends
 on the number of classes, not of rows.  Executors give each piece its rank within its length from per-task counts.
 
@@ -34,10 +34,10 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
-def plan_bins(counts: dict[int, int], capacity: int, max_docs: int, max_cost: int, rule: str = "norm", weights: tuple[float, float, float] = (1.0, 0.05, 0.05)) -> tuple[np.ndarray, int]:
+def plan_bins(counts: dict[int, int], capacity: int, max_docs: int, max_cost: int, rule: str = "norm", weights: tuple[float, float, float] = (1.0, 0.5, 0.5), grains: int = 16) -> tuple[np.ndarray, int]:
     """Rows (length, lo, n, bin, offset), and the number of bins.  Raises ValueError on a piece that no bin can hold."""
     caps = np.array([capacity, max_docs, max_cost], float)
-    w, grain = np.array(weights), max(1, max_cost // 64)
+    w, grain = np.array(weights), max(1, max_cost // grains)
     places: list[tuple[int, int, int, int, int]] = []
     ids: dict[tuple[int, int, int], list[tuple[int, int]]] = {}
     keys, number = np.zeros((0, 3)), {}
@@ -45,7 +45,8 @@ def plan_bins(counts: dict[int, int], capacity: int, max_docs: int, max_cost: in
     opened = 0
 
     def clip(t: int, d: int, a: int) -> tuple[int, int, int]:
-        return (t, min(d, t), t * t if a >= t * t else a // grain * grain)
+        rounded = a // grain * grain
+        return (t, d, max(rounded, t * t) if a >= t * t else rounded) if t else (0, 0, 0)
 
     def put(key: tuple[int, int, int], spans: list[tuple[int, int]]) -> None:
         nonlocal keys, size
@@ -83,7 +84,7 @@ def plan_bins(counts: dict[int, int], capacity: int, max_docs: int, max_cost: in
                 most = int(size[number[key]])
             else:
                 key, most = clip(capacity, max_docs, max_cost), None
-            each = min(key[0] // length, key[1], key[2] // (length * length))
+            each = min(key[0] // length, key[1], key[2] // (length * length)) if most is None or rule == "norm" else 1  # by the norm a bin just filled stays the best
             bins = left // each if most is None else min(most, left // each)
             if not bins:
                 each, bins = left, 1
@@ -121,8 +122,11 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> D
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, max_docs: int = 2048, max_cost: int = 2048 * 2048, end_id: int = 0, rule: str = "norm") -> DataFrame:
-    """Packs documents (doc_id, text) into sequences; a row for each piece (``PACKED``)."""
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, max_docs: int = 128, max_cost: int = 2048 * 2048, end_id: int = 0, rule: str = "norm") -> DataFrame:
+    """Packs documents (doc_id, text) into sequences; a row for each piece (``PACKED``).
+
+    With the defaults a sequence holds 128 pieces at most, which binds where many short documents meet; a whole piece takes
+    all the attention cost, so cost can't bind beyond the tokens, but what is left of it steers the choice."""
     spark = docs.sparkSession
     pieces = save(cut_pieces(docs, tokenizer, capacity, end_id), "pieces")
     counts = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))

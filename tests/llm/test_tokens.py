@@ -127,28 +127,42 @@ def test_packing_odd(spark, odd_docs, no_docs):
     check_packing(rows, odd_docs, 2048)
 
 
-def one_by_one(lengths, capacity, max_docs, max_cost):
-    """Best fit of single pieces by the norm, the slow way."""
-    bins = []
+def one_by_one(lengths, capacity, max_docs, max_cost, weights, rule):
+    """Vector best fit of single pieces, the slow way."""
+    caps, w = np.array([capacity, max_docs, max_cost], float), np.array(weights)
+    bins = np.zeros((0, 3))
     for n in sorted(lengths, reverse=True):
-        fit = [b for b in bins if b[0] >= n and b[1] >= 1 and b[2] >= n * n]
-        if fit:
-            best = min(fit, key=lambda b: (b[0] - n) ** 2 / capacity**2)
+        item = np.array([n, 1, n * n], float)
+        fit = np.flatnonzero((bins >= item).all(axis=1))
+        if len(fit):
+            have = bins[fit]
+            score = (w * ((have - item) / caps) ** 2).sum(axis=1) if rule == "norm" else -(w * (item / caps) * (have / caps)).sum(axis=1)
+            best = fit[np.lexsort((*have.T, score))[0]]
         else:
-            best = [capacity, max_docs, max_cost]
-            bins.append(best)
-        best[0] -= n
-        best[1] -= 1
-        best[2] -= n * n
+            bins, best = np.vstack([bins, caps]), len(bins)
+        bins[best] -= item
     return len(bins)
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(1, 64), max_size=120))
-def test_plan_equals_single_best_fit(lengths):
+@given(st.lists(st.integers(1, 64), max_size=120), st.sampled_from([(64, 64 * 64), (3, 64 * 64), (5, 70 * 70)]), st.sampled_from(["norm", "dot"]))
+def test_plan_equals_single_best_fit(lengths, caps, rule):
     counts = {n: lengths.count(n) for n in lengths}
-    plan, opened = packing.plan_bins(counts, 64, 64, 64 * 64)
-    assert opened == one_by_one(lengths, 64, 64, 64 * 64)
+    plan, opened = packing.plan_bins(counts, 64, *caps, rule, grains=caps[1])
+    assert opened == one_by_one(lengths, 64, *caps, (1.0, 0.5, 0.5), rule)
     for n, c in counts.items():
         ranks = sorted(r for _, lo, m, *_ in plan[plan[:, 0] == n] for r in range(lo, lo + m))
         assert ranks == list(range(c))
+
+
+def test_the_choice_is_of_vectors(docs):
+    """On the real lengths the document count and the cost change which bins are chosen, at no more sequences."""
+    counts = defaultdict(int)
+    for r in docs.collect():
+        n = len(ids_of(r.text)) + 1
+        counts[2048] += n // 2048
+        counts[n % 2048] += 1
+    counts.pop(0, None)
+    plans = [packing.plan_bins(dict(counts), 2048, most, 2048 * 2048, "norm", w) for most, w in ((2048, (1.0, 0.0, 0.0)), (128, (1.0, 0.5, 0.5)))]
+    assert plans[0][1] == plans[1][1]
+    assert {tuple(r) for r in plans[0][0].tolist()} != {tuple(r) for r in plans[1][0].tolist()}
