@@ -21,10 +21,10 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -74,26 +74,85 @@ def parse(payload: bytes) -> tuple[int | None, np.ndarray]:
     return None if null else doc_id, np.frombuffer(payload, f"<u{width}", n, 14).astype("<u4")
 
 
-def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, chunk_bytes: int = 16 << 20) -> None:
-    """Encodes each whole text (columns doc_id, text) and writes the records in ascending doc_id order under path/data."""
+class Bounds(NamedTuple):
+    """Keys that end all partitions but the last."""
+
+    keys: np.ndarray
+
+    @staticmethod
+    def key(doc_id: np.ndarray, null: np.ndarray, mark: np.ndarray) -> np.ndarray:
+        """Ids, null first, then marks, as byte strings that sort alike."""
+        out = np.zeros(len(doc_id), [("has", "u1"), ("id", ">u8"), ("mark", ">u8"), ("end", "u1")])
+        out["has"], out["id"], out["mark"], out["end"] = ~null, np.where(null, 0, doc_id).astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63), mark, 1
+        return out.view("S18")
+
+    def place(self, key: np.ndarray, turn: np.ndarray) -> np.ndarray:
+        """The partition of each key; keys that end several partitions are dealt over them."""
+        low, high = np.searchsorted(self.keys, key, "left"), np.searchsorted(self.keys, key, "right")
+        return low + turn % np.maximum(1, high - low)
+
+
+def _bounds(rows: DataFrame, part_bytes: int, most_parts: int = 50_000, sample: int = 1_000_000) -> tuple[Bounds, int]:
+    """Bounds of partitions of about ``part_bytes`` of text each, from a sample of keys of bounded size, and their number."""
+    sized = rows.select("doc_id", F.crc32(F.col("text").cast("binary")).alias("mark"), (F.octet_length("text") + 16).alias("size"))
+    n, total = sized.agg(F.count("*"), F.coalesce(F.sum(F.coalesce("size", F.lit(16))), F.lit(0))).first()
+    parts = int(max(1, min(most_parts, -(-total // part_bytes))))
+    if parts == 1:
+        return Bounds(np.zeros(0, "S18")), 1
+    share = min(1.0, min(sample, 64 * parts) / n)
+    drawn = sized.where(F.rand(11) < share).toArrow()  # so many rows at most, but for chance
+    null = drawn["doc_id"].is_null().to_numpy()
+    key = Bounds.key(drawn["doc_id"].fill_null(0).to_numpy(), null, drawn["mark"].fill_null(0).to_numpy())
+    order = np.argsort(key, kind="stable")
+    reach = np.cumsum(drawn["size"].fill_null(16).to_numpy()[order])
+    at = np.searchsorted(reach, reach[-1] * np.arange(1, parts) / parts) if len(reach) else np.zeros(0, np.int64)
+    return Bounds(key[order][at]), len(at) + 1
+
+
+def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, chunk_bytes: int = 4 << 20, part_bytes: int = 24 << 20) -> None:
+    """Encodes each whole text (columns doc_id, text) and writes the records in ascending doc_id order under path/data.
+
+    Texts are encoded where they are read; only framed records go through the exchange, to partitions whose bounds come
+    from the ids and checksums, so nothing is encoded twice.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    bounds, parts = _bounds(rows, part_bytes)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, chunk, end = encoder(tokenizer), TaskContext.get().partitionId(), 0, struct.pack("<I", end_id)
-        head = lambda c: frame(MAGIC + struct.pack("<III", part, c, end_id))
-        held, size = [], 0
+        enc, end, seen = encoder(tokenizer), struct.pack("<I", end_id), 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            ids, texts = batch.column(0), batch.column(1)
+            held, size, first = [], 0, 0
+            for i, (doc_id, text) in enumerate(zip(ids.to_pylist(), texts)):
                 held.append(frame(record(doc_id, enc.bytes_of(text.as_py()) + end)))
                 size += len(held[-1])
+                if size >= chunk_bytes or i == len(ids) - 1:
+                    mark = batch.column(2).slice(first, len(held)).fill_null(0).to_numpy()
+                    own = ids.slice(first, len(held))
+                    key = Bounds.key(own.fill_null(0).to_numpy(), own.is_null().to_numpy(zero_copy_only=False), mark)
+                    part = bounds.place(key, seen + np.arange(len(held)))
+                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), own, pa.array(mark, pa.int64()), pa.array(held, pa.binary())], ["part", "doc_id", "mark", "frame"])
+                    seen, first, held, size = seen + len(held), i + 1, [], 0
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, held, size = 0, [], 0
+        for batch in batches:
+            part = batch.column(0)[0].as_py() if batch.num_rows else 0
+            for f in batch.column(1):
+                held.append(f.as_py())
+                size += len(held[-1])
                 if size >= chunk_bytes:
-                    yield pa.RecordBatch.from_arrays([pa.array([head(chunk) + b"".join(held)], pa.binary())], ["value"])
-                    held, size, chunk = [], 0, chunk + 1
+                    yield file(part, chunk, held)
+                    chunk, held, size = chunk + 1, [], 0
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array([head(chunk) + b"".join(held)], pa.binary())], ["value"])
+            yield file(part, chunk, held)
+
+    def file(part: int, chunk: int, held: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([frame(MAGIC + struct.pack("<III", part, chunk, end_id)) + b"".join(held)], pa.binary())], ["value"])
 
-    by = [F.col("doc_id").asc_nulls_first(), F.crc32(F.col("text").cast("binary"))]
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(*by).sortWithinPartitions(*by)
-    ordered.mapInArrow(encode, "value binary").select(F.col("value").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(f"{path}/data")
+    marked = rows.select("doc_id", "text", F.crc32(F.col("text").cast("binary")).alias("mark")).mapInArrow(encode, "part int, doc_id long, mark long, frame binary")
+    ordered = marked.repartitionById(parts, F.col("part")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "mark").select("part", "frame")
+    ordered.mapInArrow(join, "value binary").select(F.col("value").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(f"{path}/data")
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:

@@ -7,7 +7,8 @@ own pattern and its parts go straight to the library's BPE model; any other word
 
 from __future__ import annotations
 
-import numpy as np
+import struct
+
 import regex
 from tokenizers import Tokenizer
 
@@ -21,24 +22,33 @@ def byte_alphabet() -> dict[int, int]:
     return {b: b for b in kept} | {b: 256 + i for i, b in enumerate(moved)}
 
 
+def _little(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class _Words(dict):
+    """Words in two generations of at most ``bound`` each, so that frequent ones outlive a flood of rare ones."""
+
     def __init__(self, encode, bound: int):
         super().__init__()
-        self.encode, self.bound = encode, bound
+        self.encode, self.bound, self.old = encode, bound, {}
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.bound:
-            self.clear()
-        out = self.encode(word)
+        out = self.old.get(word)
+        if out is None:
+            out = self.encode(word)
         if len(word) <= 64:
+            if len(self) >= self.bound:
+                self.old = dict(self)
+                self.clear()
             self[word] = out
         return out
 
 
 class WordEncoder:
-    """``bytes_of(text)`` gives the ids as little-endian unsigned 32-bit integers.  ``bound``: words in the cache."""
+    """``bytes_of(text)`` gives the ids as little-endian unsigned 32-bit integers.  ``bound``: words in a generation of the cache."""
 
-    def __init__(self, path: str, bound: int = 500_000):
+    def __init__(self, path: str, bound: int = 250_000):
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
         self.alphabet = byte_alphabet()
@@ -47,11 +57,14 @@ class WordEncoder:
         self.exact = _Words(self._whole, bound // 10)
 
     def _whole(self, word: str) -> bytes:
-        return np.array(self.library.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        return _little(self.library.encode(word, add_special_tokens=False).ids)
 
     def _word(self, word: str) -> bytes:
-        ids = [t.id for part in _PARTS.findall(word) for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.alphabet))]
-        return np.array(ids, "<u4").tobytes()
+        parts = (word,) if word.isalpha() else _PARTS.findall(word)
+        if not (word.isascii() and word.isprintable()):  # those bytes are written as themselves
+            parts = [p.encode().decode("latin-1").translate(self.alphabet) for p in parts]
+        tokenize = self.model.tokenize
+        return _little([t.id for p in parts for t in tokenize(p)])
 
     def bytes_of(self, text: str | None) -> bytes:
         if not text:
