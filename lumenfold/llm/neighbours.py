@@ -2,11 +2,13 @@
 
 Vectors get one more component so that all have one norm; then the largest inner product is the smallest distance.  All
 are turned by one random rotation, which spreads a distance evenly over the components.  Rows go to the nearest of
-``lists`` centroids (fitted on at most ``sample`` rows, the documented bound; every row is indexed).  A query reads a
-``share`` of the lists, nearest first, and goes on to further ones until they hold ``k`` other rows.  Within a list its best so far come from the first rows; for the others the
-distance is summed over blocks of columns, and after each block a row is abandoned if the distance so far, scaled up,
-exceeds the bound of a hypothesis test at the ``confidence`` factor.  What survives is measured on the original vectors,
-in double precision.
+``lists`` centroids (as many as half the square root of the rows, 1,024 at most, unless given), fitted on at most ``sample``
+rows, the documented bound; every row is indexed.  A query reads a ``share`` of the lists, nearest first, and goes on to
+further ones until they hold ``k`` other rows; unless given, the share is the least that holds ``recall`` of the
+neighbours of 256 sampled rows within the sample.  Within a list its best so far come from the first rows; for the others
+the distance is summed over blocks of columns, and after each block a row is abandoned if the distance so far, scaled
+up, exceeds the bound of a hypothesis test at the ``confidence`` factor.  What survives is measured on the original
+vectors, in double precision.
 
 A list is cut into blocks of ``block`` rows and its queries into blocks of as many, so no list, however large, meets in
 one task; a task keeps each query's best ``k`` of its block, and a window merges those.
@@ -19,6 +21,7 @@ is empty; fewer candidates than ``k`` are all given.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +31,9 @@ from pyspark.sql import functions as F
 from .common import save
 
 STEPS = (16, 32, 48)
+CHUNKS = (0, 64, 512)
+#: Queries whose distances to a block are held at once, pairs gathered at once, and the share of live pairs below which pairs are followed singly.
+GROUP, PAIRS, SPARSE = 256, 65_536, 0.1
 
 
 def rotation(size: int, seed: int = 3) -> np.ndarray:
@@ -59,36 +65,82 @@ def widened(x: np.ndarray, norm: float, query: bool) -> np.ndarray:
     return np.hstack([x, extra[:, None]])
 
 
-def best_of(ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
-    return np.lexsort((ids, -score))[:k]
-
-
-def scan(ids: np.ndarray, x: np.ndarray, turned: np.ndarray, own: int, q: np.ndarray, tq: np.ndarray, k: int, confidence: float, first: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """The best ``k`` (ids, scores) of a block for one query."""
-    head = slice(0, max(first, k))
-    score = (x[head] * q).sum(axis=1)
-    score[ids[head] == own] = -np.inf
-    top = best_of(ids[head], score, k)
-    found, scores = ids[head][top], score[top]
-    left = np.arange(min(len(ids), head.stop), len(ids))
-    if len(left) and len(found) == k and np.isfinite(scores[-1]):
-        edge = max(0.0, float((turned[0] ** 2).sum() + tq @ tq - 2 * scores[-1]))
-        far, at, size = np.zeros(len(left)), 0, len(tq)
-        for to in (*(s for s in STEPS if s < size), size):
-            far += ((turned[left, at:to] - tq[at:to]) ** 2).sum(axis=1)
-            bound = edge * (1 + (confidence / np.sqrt(to) if to < size else 1e-9)) ** 2
-            live = far * (size / to) <= bound + 1e-9
-            left, far, at = left[live], far[live], to
-            if not len(left):
-                break
-    if len(left):
-        more = (x[left] * q).sum(axis=1)
-        more[ids[left] == own] = -np.inf
-        found, scores = np.concatenate([found, ids[left]]), np.concatenate([scores, more])
-        top = best_of(found, scores, k)
-        found, scores = found[top], scores[top]
-    real = np.isfinite(scores)
-    return found[real], scores[real]
+def scan(ids: np.ndarray, x: np.ndarray, turned: np.ndarray, own: np.ndarray, q: np.ndarray, tq: np.ndarray, k: int, confidence: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query number, id, score) of the best ``k`` of a block of rows for each of a block of queries.
+
+    The rows come in ``CHUNKS``.  Those before give each query its edge, the distance of its k-th best so far; a pair
+    whose distance over the first columns, scaled up, exceeds the test's bound is abandoned.  Distances of the pairs that
+    live are sums of products of whole blocks while those are many, and of single pairs after that.
+    """
+    got = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    reach, size, norm2 = np.full(len(q), -np.inf), tq.shape[1], float((turned[0] ** 2).sum()) if len(turned) else 0.0
+    asked, ordered = (tq**2).sum(axis=1), np.sort(ids)
+    copies = int((np.searchsorted(ordered, own, "right") - np.searchsorted(ordered, own, "left")).max(initial=0))  # rows with a query's own id
+    for low, high in pairwise((*(c for c in CHUNKS if c < len(ids)), len(ids))):
+        edge = np.maximum(0.0, norm2 + asked - 2 * reach)
+        i, j = _live(tq, turned[low:high], edge, confidence, k + copies)
+        more = np.concatenate([(x[low + j[at : at + PAIRS]] * q[i[at : at + PAIRS]]).sum(axis=1) for at in range(0, len(i), PAIRS)] or [np.zeros(0)])
+        other = ids[low + j] != own[i]
+        i, found, score = (np.concatenate([was, now[other]]) for was, now in zip(got, (i, ids[low + j], more)))
+        order = np.lexsort((found, -score, i))
+        i, found, score = i[order], found[order], score[order]
+        rank = np.arange(len(i)) - np.searchsorted(i, i)
+        reach[i[rank == k - 1]] = score[rank == k - 1]
+        got = tuple(c[rank < k] for c in (i, found, score))
+    return got
+
+
+def _live(tq: np.ndarray, turned: np.ndarray, edge: np.ndarray, confidence: float, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, row) that no test abandons, of each query's the ``k`` nearest and what is as near but for rounding; an
+    infinite edge lets every row through."""
+    size, out = tq.shape[1], []
+    steps = [*(s for s in STEPS if s < size), size]
+    for first in range(0, len(tq), GROUP):
+        q, e = tq[first : first + GROUP], edge[first : first + GROUP]
+        far, at, i, j = np.zeros((len(q), len(turned))), 0, None, None
+        for to in steps:
+            bound = e * (1 + (confidence / np.sqrt(to) if to < size else 1e-9)) ** 2 * (to / size) + 1e-9
+            a, b = q[:, at:to], turned[:, at:to]
+            if i is None:
+                far += (a**2).sum(axis=1)[:, None] + (b**2).sum(axis=1)[None, :] - 2 * (a @ b.T)
+                live = far <= bound[:, None]
+                if live.mean() < SPARSE:
+                    i, j = np.nonzero(live)
+                    far = far[i, j]
+                else:
+                    far[~live] = np.inf
+            else:
+                for start in range(0, len(i), PAIRS):
+                    own = slice(start, start + PAIRS)
+                    far[own] += ((b[j[own]] - a[i[own]]) ** 2).sum(axis=1)
+                live = far <= bound[i]
+                i, j, far = i[live], j[live], far[live]
+            at = to
+        if i is None:
+            if far.shape[1] > k:
+                far[far > np.partition(far, k, axis=1)[:, k, None] * (1 + 1e-9) + 1e-9] = np.inf
+            i, j = np.nonzero(np.isfinite(far))
+        elif len(i) > k:
+            order = np.lexsort((far, i))
+            start = np.searchsorted(i[order], i[order])
+            last = np.minimum(start + k, np.searchsorted(i[order], i[order], "right") - 1)
+            near = order[far[order] <= far[order][last] * (1 + 1e-9) + 1e-9]
+            i, j = i[near], j[near]
+        out.append((i + first, j))
+    return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def share_for(x: np.ndarray, norm: float, turn: np.ndarray, centre: np.ndarray, k: int, recall: float, queries: int = 256) -> float:
+    """The least share of the lists that holds ``recall`` of the true neighbours of some sampled rows among the sample.  A
+    sample is sparser than the table, so its neighbours lie farther apart and the share is rather too large."""
+    q = x[:: max(1, len(x) // queries)]
+    score = q @ x.T
+    score[np.arange(len(q)), np.arange(len(q)) * max(1, len(x) // queries)] = -np.inf
+    best = np.argsort(-score, axis=1, kind="stable")[:, : max(1, min(k, len(x) - 1))]
+    own = nearest(widened(x, norm, False) @ turn, centre)[:, 0]
+    place = np.argsort(nearest(widened(q, norm, True) @ turn, centre, len(centre)), axis=1)
+    depth = np.sort(np.take_along_axis(place, own[best], axis=1).ravel())
+    return (depth[min(len(depth) - 1, int(np.ceil(recall * len(depth))))] + 1) / len(centre)
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray, size: int) -> np.ndarray:
@@ -96,7 +148,7 @@ def _matrix(column: pa.Array | pa.ChunkedArray, size: int) -> np.ndarray:
     return np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in chunks] or [np.zeros(0)]).astype(np.float64).reshape(-1, size)
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, lists: int = 128, share: float = 0.6, confidence: float = 2.5, sample: int = 20_000, block: int = 4096) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 20, lists: int | None = None, share: float | None = None, recall: float = 0.96, confidence: float = 2.5, sample: int = 20_000, block: int = 4096) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows (vec_id, embedding) that ``is_query`` marks, against all others."""
     spark = vectors.sparkSession
     v = F.col("embedding")
@@ -111,8 +163,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, lists: int = 128,
     rows = rows.where(F.size(v) == size)
     drawn = F.pmod(F.xxhash64(F.lit(13), "vec_id"), F.lit(1_000_000)) / 1_000_000
     some = rows.where(drawn < min(1.0, 1.2 * sample / n)).orderBy(drawn, "vec_id").limit(sample).select("embedding").collect()
-    turn = rotation(size + 1)
-    centre = centroids_of(widened(np.array([r[0] for r in some]), norm, False) @ turn, lists)
+    turn, drawn_rows = rotation(size + 1), np.array([r[0] for r in some])
+    centre = centroids_of(widened(drawn_rows, norm, False) @ turn, lists or max(1, min(1024, round(n**0.5 / 2))))
+    share = share_for(drawn_rows, norm, turn, centre, k, recall) if share is None else share
     held = spark.sparkContext.broadcast((turn, centre))  # (size + 1 + lists) * (size + 1) numbers
     reach = max(1, min(len(centre), int(np.ceil(share * len(centre)))))
 
@@ -152,19 +205,16 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, lists: int = 128,
     asked = asked.where(F.col("list").isin(list(row_blocks))).select("list", spread(row_blocks).alias("rb"), deal("query_id", query_blocks).alias("qb"), "query_id", "q")
 
     def meet(rows: pa.Table, queries: pa.Table) -> pa.Table:
-        got = ([], [], [])
+        got: tuple = ([], [], [])
         if rows.num_rows and queries.num_rows:
             ids, x = rows.column("vec_id").to_numpy(), _matrix(rows.column("embedding"), size)
             turned = widened(x, norm, False) @ held.value[0]
             order = np.lexsort((ids, ((turned - turned.mean(axis=0)) ** 2).sum(axis=1)))  # the first rows give the first bound
             ids, x, turned = ids[order], x[order], turned[order]
-            qs = _matrix(queries.column("q"), size)
-            for own, q, tq in zip(queries.column("query_id").to_pylist(), qs, widened(qs, norm, True) @ held.value[0]):
-                found, scores = scan(ids, x, turned, own, q, tq, k, confidence)
-                got[0].append(np.full(len(found), own))
-                got[1].append(found)
-                got[2].append(scores)
-        return pa.table([pa.array(np.concatenate(g) if g else [], t) for g, t in zip(got, (pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
+            q, own = _matrix(queries.column("q"), size), queries.column("query_id").to_numpy()
+            i, found, score = scan(ids, x, turned, own, q, widened(q, norm, True) @ held.value[0], k, confidence)
+            got = own[i], found, score
+        return pa.table([pa.array(g, t) for g, t in zip(got, (pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
 
     keys = ["list", "rb", "qb"]
     found = data.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(meet, out)
