@@ -8,6 +8,10 @@ Each stage takes all that its predecessor kept and returns the columns of docume
 * secrets: every secret's span is replaced, n_chars follows;
 * packing: the rest is cut and packed into sequences of 2048 tokens.
 
+Cases: a null or empty text is scored, grouped, searched and packed as empty, and stays as it is; rows without an id can't be
+told apart as copies and all stay; rows that repeat an id and its text leave one; of ties the smallest doc_id stays; columns
+beyond those of documents pass through every stage but the last; an empty table gives no row in any stage.
+
 ``run`` writes each stage's rows below spark.checkpoint.dir and reads them back, so a lost executor costs a stage at most.
 No SQL expresses the fitted model, the fingerprints' proofs or the packing, so ORACLE_SQL is None; tests/llm holds the
 stages against brute force.
