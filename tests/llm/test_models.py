@@ -27,6 +27,25 @@ def test_language_whole_text_in_blocks():
     assert (whole == parts).all()
 
 
+def test_language_vote_by_hand(spark):
+    """The score of each text as a plain sum over its grams, one vote for each pair of classes."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language.fit(docs, fold_of(F.col("doc_id"), 4) != 2)
+    got = {r.doc_id: r.lang_pred for r in language.predict(docs, model).collect()}
+    rows = docs.select("doc_id", "text").limit(30).collect()
+
+    def winner(text, level, names):
+        x = language.features_of(text)
+        margin = {(a, b): float(x @ model.table[:, k]) + model.bias[k] for k, (at, a, b) in enumerate(model.pairs) if at == level}
+        score = {g: (sum((m >= 0) == (g == a) for (a, b), m in margin.items() if g in (a, b)), sum(m if g == a else -m for (a, b), m in margin.items() if g in (a, b))) for g in names}
+        return min(names, key=lambda g: (-score[g][0], -score[g][1], g))
+
+    for r in rows:
+        if r.text and any(c.isalpha() for c in r.text):
+            family = winner(r.text, "family", model.families)
+            assert got[r.doc_id] == winner(r.text, family, [g for g in model.langs if model.family[g] == family])
+
+
 def test_language_odd(spark, odd_docs, no_docs):
     learned = spark.createDataFrame([(1, "der die das und", "de"), (2, "the and of with", "en"), (3, "words", None), (4, None, "en")], "doc_id long, text string, lang string")
     model = language.fit(learned, F.lit(True))

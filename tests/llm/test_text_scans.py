@@ -4,7 +4,9 @@ import base64
 import bz2
 import gzip
 import hashlib
+import itertools
 import lzma
+import random
 import re
 import urllib.parse
 import zlib
@@ -165,6 +167,63 @@ def test_alignment_is_sound(a, b):
     assert licenses.align(a, a) == [(i, i) for i in range(len(a))]
 
 
+def slow_align(a, b):
+    """Patience alignment by its definition, recursively on lists."""
+    head = 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    out = [(k, k) for k in range(head)] + [(len(a) - 1 - k, len(b) - 1 - k) for k in range(tail)]
+    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
+    if x and y:
+        both = [(x.index(w), y.index(w)) for w in x if x.count(w) == 1 and y.count(w) == 1]
+        best = max((own for n in range(len(both), -1, -1) for own in itertools.combinations(both, n) if all(p[1] < q[1] for p, q in zip(own, own[1:]))), key=len)
+        if best:
+            own = [*best]
+            for (p, q), (r, s) in zip([(-1, -1), *best], [*best, (len(x), len(y))]):
+                own += [(p + 1 + i, q + 1 + j) for i, j in slow_align(x[p + 1 : r], y[q + 1 : s])]
+        else:
+            own = licenses.common(x, y)
+        out += [(head + i, head + j) for i, j in own]
+    return sorted(out)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from("abcdefgh"), max_size=9), st.lists(st.sampled_from("abcdefgh"), max_size=9))
+def test_alignment_equals_its_definition(a, b):
+    got, want = licenses.align(a, b), slow_align(a, b)
+    assert len(got) == len(want)  # of several longest sequences of anchors either may be taken
+    if all(a.count(w) < 2 for w in a) and all(b.count(w) < 2 for w in b):
+        assert len(got) == len(licenses.common(a, b))
+
+
+def test_scan_equals_looking_everywhere():
+    """Every place where a template stands whole, or with a word in five missing at most, by trying all windows."""
+    scanner, template = licenses.Scanner({"T": "one two three four five six seven eight nine ten"}), "one two three four five six seven eight nine ten".split()
+    rng = random.Random(4)
+    for _ in range(60):
+        words, planted = [], 0
+        for _ in range(rng.randrange(1, 5)):
+            words += [rng.choice(["x", "y", "two", "z"]) for _ in range(rng.randrange(12, 30))]
+            own = list(template)
+            for _ in range(rng.randrange(0, 3)):
+                own.pop(rng.randrange(len(own)))
+            words += own
+            planted += 1
+        words += ["x"] * 12
+        got = scanner.matches(" ".join(words))
+        best = max(len(licenses.common(words[k : k + 20], template)) for k in range(len(words)))
+        assert len(got) == planted and max(m[3] for m in got) <= best and all(m[4] >= 0.8 for m in got)
+
+
+def test_many_notices_stay_apart():
+    text = "Released under the MIT License. " * 500
+    got = licenses.Scanner().matches(text)
+    assert len(got) == 500 and all(a[2] <= b[1] for a, b in zip(got, got[1:]))
+
+
 def test_licenses_are_found():
     scanner = licenses.Scanner()
     for name, text in licenses.TEMPLATES.items():
@@ -241,3 +300,24 @@ def test_licenses_after_prose(name):
 
 def scanner_of():
     return licenses.Scanner()
+
+
+@pytest.mark.parametrize("text", ["https://x.org/p/{}", "user/{}", "ab{}", "{}"])
+def test_base64_in_paths(text):
+    whole = text.format(base64.b64encode(b"password=hunter2abc").decode())
+    assert any(f[0] == "assign" for f in secrets.findings(whole)[0]), whole
+    assert not any(f[0] == "assign" for f in secrets.findings(secrets.redacted(whole))[0])
+
+
+def test_a_small_budget_loses_no_layer():
+    text = "x" * 4000 + " %70assword=hunter2abc " + base64.b64encode(gzip.compress(b"y" * 300_000 + KEY.encode())).decode()
+    for budget in (100, 1000, 64 << 20):
+        kinds = {f[0] for f in secrets.findings(text, budget)[0]}
+        assert {"assign", "access"} <= kinds
+
+
+def test_decontamination_in_blocks(spark, docs):
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    one, many = (sorted(r.doc_id for r in decontaminate.remove(docs, bench, block_bytes=b).collect()) for b in (8 << 20, 900))
+    assert one == many and 0 < len(one) < docs.count()
+    assert decontaminate.remove(docs.withColumn("row_number", docs.doc_id), bench, block_bytes=900).columns == [*docs.columns, "row_number"]
