@@ -98,6 +98,7 @@ def test_recursive(spark):
     seed = spark.createDataFrame([(1,)], "k int")
     assert rows(setops.recursive_union(seed, lambda d: d.select(((F.col("k") * 2) % 7).alias("k")))) == [(1,), (2,), (4,)]
     assert rows(setops.recursive_union(seed, lambda d: d.where("k < 4").select((F.col("k") + 1).alias("k")), distinct=False)) == [(1,), (2,), (3,), (4,)]
+    assert setops.recursive_union(seed, lambda d: d.where("k < 30").select((F.col("k") + 1).alias("k")), unroll=1, small=0).count() == setops.recursive_union(seed, lambda d: d.where("k < 30").select((F.col("k") + 1).alias("k")), unroll=50).count() == 30
     with pytest.raises(RuntimeError):
         setops.recursive_union(seed, lambda d: d, distinct=False, max_rounds=3)
 
