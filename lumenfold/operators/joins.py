@@ -10,19 +10,24 @@ from pyspark.sql import functions as F
 from ..functions.common import free_name
 
 
-def dependent_join(independent: DataFrame, dependent: DataFrame, key: str, how: str = "inner", max_keys: int = 10_000) -> DataFrame:
-    """Joins after sending the independent side's keys to the other source.
+def bind(dependent: DataFrame, key: str, independent: DataFrame, independent_key: str, max_keys: int = 10_000) -> DataFrame:
+    """The dependent rows whose key is among the independent side's.
 
     With at most ``max_keys`` distinct keys they become an IN predicate, which the source evaluates (Parquet row groups,
     a JDBC WHERE).  With more, the dependent side is reduced by a left-semi join on the distinct keys instead, whose
     runtime filter Catalyst may derive; no key list grows in the driver.
     """
-    keys = [r[0] for r in independent.select(key).where(F.col(key).isNotNull()).distinct().limit(max_keys + 1).collect()]
+    own = free_name("key", dependent)
+    sets = independent.select(F.col(independent_key).alias(own)).where(F.col(own).isNotNull()).distinct()
+    keys = [r[0] for r in sets.limit(max_keys + 1).collect()]
     if len(keys) <= max_keys:
-        reduced = dependent.where(F.col(key).isin(keys)) if keys else dependent.where(F.lit(False))
-    else:
-        reduced = dependent.join(independent.select(key).distinct(), key, "left_semi")
-    return independent.join(reduced, key, how)
+        return dependent.where(F.col(key).isin(keys)) if keys else dependent.where(F.lit(False))
+    return dependent.join(sets, F.col(key) == F.col(own), "left_semi")
+
+
+def dependent_join(independent: DataFrame, dependent: DataFrame, key: str, how: str = "inner", max_keys: int = 10_000) -> DataFrame:
+    """Joins after sending the independent side's keys to the other source (see ``bind``)."""
+    return independent.join(bind(dependent, key, independent, key, max_keys), key, how)
 
 
 def union_partition_join(left: Sequence[tuple[object, DataFrame]], right: Sequence[tuple[object, DataFrame]], on: Sequence[str], how: str = "inner") -> DataFrame:
