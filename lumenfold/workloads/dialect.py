@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from ..catalog import Catalog, Policy
 from ..context import SessionContext
 from ..engine import Engine
+from ..operators import dml, tables
 from ..operators.matview import MaterializedViews
 from ..operators.procedures import Procedures, ResultCache
 from ..sources import files
+from ..sources.jdbc import DIALECTS, Source
 from ..storage import scratch
-from ..streaming import continuous
+from ..streaming import asynchronous, continuous
 from .registry import Tables, query
 
 NAMES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
@@ -123,6 +125,12 @@ sql(
     "SELECT c_custkey, c_name FROM customer WHERE c_nationkey IN (SELECT r_regionkey FROM region)",
     "customer", "nation", "region",
 )
+sql(
+    "sql_makedep",
+    "SELECT o.o_orderkey, c.c_name FROM customer AS c JOIN /*+ MAKEDEP */ orders AS o ON c.c_custkey = o.o_custkey WHERE c.c_nationkey = 7",
+    "SELECT o_orderkey, c_name FROM customer JOIN orders ON c_custkey = o_custkey WHERE c_nationkey = 7",
+    "customer", "orders",
+)
 sql(
     "sql_window_limit",
     "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn, sum(o_orderkey) OVER (ORDER BY o_orderkey) AS run FROM orders WHERE o_orderkey > 5 ORDER BY o_orderkey OFFSET 3 ROWS FETCH NEXT 20 ROWS ONLY",
@@ -378,3 +386,83 @@ def sql_select_into(t: Tables) -> DataFrame:
     e = engine_of(t, "nation")
     e.execute("SELECT n_regionkey, n_name INTO #copy FROM nation")
     return e.execute("SELECT n_regionkey, count(*) AS n FROM #copy GROUP BY n_regionkey")
+
+
+@query("sql_function", "SELECT n_nationkey, n_nationkey // 2 + 1 AS half, lower(n_name) || '!' AS loud FROM nation")
+def sql_function(t: Tables) -> DataFrame:
+    e = engine_of(t, "nation")
+    e.execute("CREATE VIRTUAL FUNCTION lf_half (x long) RETURNS long AS RETURN x div 2 + 1")
+    e.execute("CREATE VIRTUAL FUNCTION lf_loud (s string) RETURNS string AS BEGIN RETURN lcase(s) || '!'; END")
+    return e.execute("SELECT n_nationkey, lf_half(n_nationkey) AS half, lf_loud(n_name) AS loud FROM nation")
+
+
+@query("batched_update", "SELECT n_nationkey, n_name || '-' || n_regionkey AS n_name FROM nation WHERE n_nationkey > 4 UNION ALL SELECT 900, 'late'")
+def batched_update(t: Tables) -> DataFrame:
+    table = dml.VersionedTable(t.nation.select("n_nationkey", "n_name", "n_regionkey"), ["n_nationkey"], cut_every=2)
+    late = t.spark.createDataFrame([(900, "late", None)], "n_nationkey long, n_name string, n_regionkey long")
+    table.batch([lambda x: x.update("n_regionkey >= 0", {"n_name": "n_name || '-' || n_regionkey"}), lambda x: x.delete("n_nationkey < 5"), lambda x: x.insert(late)])
+    return table.df.select("n_nationkey", "n_name")
+
+
+@query("asynchronous_rows", "SELECT count(*) AS n, CAST(sum(n_nationkey) AS BIGINT) AS total FROM nation WHERE n_regionkey = 2")
+def asynchronous_rows(t: Tables) -> DataFrame:
+    seen: list[int] = []
+    found = asynchronous.Prepared(catalog_of(t, "nation").sql, "SELECT n_nationkey FROM nation WHERE n_regionkey = :r").bind(r=2)
+    n = found.submit(lambda row: seen.append(row.n_nationkey)).result(300)
+    return t.spark.createDataFrame([(n, sum(seen))], "n long, total long")
+
+
+@query("texttable_plain", "SELECT c_custkey, c_name AS name, c_nationkey + 1 AS n, CAST(1 AS INTEGER) AS line FROM customer")
+def texttable_plain(t: Tables) -> DataFrame:
+    text = F.concat(F.lit("name;n\n"), "c_name", F.lit("; "), (F.col("c_nationkey") + 1).cast("string"), F.lit("\n\n"))
+    return tables.texttable(t.customer.select("c_custkey", text.alias("csv")), "csv", [("name", "string"), ("n", "integer"), ("line", "ordinality")], delimiter=";", header=1, quote=None)
+
+
+# -- a relational source ---------------------------------------------------------------------------------------------------
+
+
+def _nations(t: Tables) -> Source:
+    """A database in the memory of this process, so it takes a local master."""
+    if not t.spark.sparkContext.master.startswith("local"):
+        raise ValueError("the in-memory database can't be reached from other machines")
+    source = Source(DIALECTS["derby"], "jdbc:derby:memory:lumenfold;create=true")
+    source.write(t.nation.selectExpr("CAST(n_nationkey AS INT) AS ID", "n_name AS NAME", "CAST(n_regionkey AS INT) AS REGION"), "NATIONS", "overwrite")
+    return source
+
+
+@query("jdbc_pushdown", 'SELECT CAST(n_nationkey AS INTEGER) AS "ID", n_name AS "NAME" FROM nation WHERE n_nationkey > 17')
+def jdbc_pushdown(t: Tables) -> DataFrame:
+    return _nations(t).table(t.spark, "NATIONS").where("ID > 17").select("ID", "NAME")
+
+
+@query("jdbc_native", 'SELECT CAST(n_regionkey AS INTEGER) AS "REGION", CAST(count(*) AS INTEGER) AS "N" FROM nation WHERE n_nationkey <> 3 GROUP BY n_regionkey')
+def jdbc_native(t: Tables) -> DataFrame:
+    return _nations(t).native(t.spark, "SELECT REGION, COUNT(*) AS N FROM NATIONS WHERE ID <> $1 GROUP BY REGION", [3])
+
+
+@query("jdbc_pushed_join", 'SELECT CAST(n_nationkey AS INTEGER) AS "ID", n_name AS "NAME" FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_custkey < 20)')
+def jdbc_pushed_join(t: Tables) -> DataFrame:
+    keys = t.customer.where("c_custkey < 20").selectExpr("CAST(c_nationkey AS INT) AS ID")
+    return _nations(t).pushed_join(t.spark, keys, "NATIONS", "ID", "WANTED").select("ID", "NAME")
+
+
+@query("jdbc_parallel", 'SELECT CAST(n_nationkey AS INTEGER) AS "ID" FROM nation')
+def jdbc_parallel(t: Tables) -> DataFrame:
+    return _nations(t).parallel(t.spark, "NATIONS", "ID", 0, 25, 4).select("ID")
+
+
+@query("change_events", "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey")
+def change_events(t: Tables) -> DataFrame:
+    base = scratch(t.spark, "changes")
+    t.nation.write.parquet(f"{base}/in")
+    stream = t.spark.readStream.schema(t.nation.schema).parquet(f"{base}/in")
+    continuous.on_change(stream, lambda rows, batch: rows.groupBy("n_regionkey").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{base}/out/batch={batch}"), f"{base}/checkpoint", once=True).awaitTermination(300)
+    return t.spark.read.parquet(f"{base}/out").groupBy("n_regionkey").agg(F.sum("n").alias("n"))
+
+
+sql(
+    "sql_context_of_names",
+    "SELECT t.n_name AS nation, r.r_name AS region FROM nation AS t NATURAL JOIN (SELECT r_regionkey AS n_regionkey, r_name FROM region) AS r WHERE 'nation' <> 'region' /* FROM customer */",
+    "SELECT n_name AS nation, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey",
+    "nation", "region",
+)

@@ -178,10 +178,15 @@ def dependent_join(t: Tables) -> DataFrame:
     return joins.dependent_join(few, lines, "s_suppkey").groupBy("s_suppkey").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("qty"))
 
 
-@query("optional_join", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey < 3000")
+@query(
+    "optional_join",
+    """SELECT 'left out' AS how, count(*) AS n, CAST(NULL AS VARCHAR) AS most FROM orders WHERE o_orderkey < 3000
+       UNION ALL SELECT 'joined', count(*), max(c_name) FROM orders LEFT JOIN customer ON c_custkey = o_custkey WHERE o_orderkey < 3000""",
+)
 def optional_join(t: Tables) -> DataFrame:
-    customer = t.customer.select(F.col("c_custkey").alias("o_custkey"), "c_name")
-    return joins.optional_join(t.orders.where("o_orderkey < 3000"), customer, ["o_custkey"], ["o_orderkey", "o_custkey"])
+    customer, some = t.customer.select(F.col("c_custkey").alias("o_custkey"), "c_name"), t.orders.where("o_orderkey < 3000")
+    out = joins.optional_join(some, customer, ["o_custkey"], ["o_orderkey", "o_custkey"]).agg(F.lit("left out").alias("how"), F.count("*").alias("n"), F.lit(None).cast("string").alias("most"))
+    return out.unionByName(joins.optional_join(some, customer, ["o_custkey"], ["o_orderkey", "c_name"]).agg(F.lit("joined").alias("how"), F.count("*").alias("n"), F.max("c_name").alias("most")))
 
 
 @query("merge_join_hint", "SELECT o_orderpriority, count(*) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderpriority")

@@ -132,11 +132,13 @@ def insert_select(t: Tables) -> DataFrame:
     return dml.insert(t.nation, t.region.selectExpr("r_regionkey + 100 AS n_nationkey", "r_name AS n_name"))
 
 
-@query("script", "SELECT CAST(55 AS INTEGER) AS total")
+@query("script", "SELECT n_regionkey, count(*) AS n, CAST(sum(n_nationkey) AS BIGINT) AS total FROM nation WHERE n_nationkey < 10 GROUP BY n_regionkey")
 def script(t: Tables) -> DataFrame:
-    procedures = Procedures(t.spark)
-    procedures.create("sum_to", "BEGIN DECLARE i INT DEFAULT 0; DECLARE total INT DEFAULT 0; WHILE i < :n DO SET i = i + 1; SET total = total + i; END WHILE; SELECT total; END")
-    return procedures.call("sum_to", n=10)
+    catalog = Catalog(t.spark)
+    catalog.register("nation", t.nation)
+    procedures = Procedures(t.spark, catalog)
+    procedures.create("up_to", "BEGIN DECLARE i INT DEFAULT 0; WHILE i < :n DO SET i = i + 2; IF i > 9 THEN SELECT n_regionkey, count(*) AS n, sum(n_nationkey) AS total FROM nation WHERE n_nationkey < i GROUP BY n_regionkey; END IF; END WHILE; END")
+    return procedures.call("up_to", n=10)
 
 
 @query("dependent_procedure", "SELECT r_regionkey, count(*) AS n FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey")

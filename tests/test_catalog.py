@@ -10,7 +10,7 @@ from lumenfold.operators.procedures import Procedures, ResultCache
 from lumenfold.sources import files, generated
 from lumenfold.sources.jdbc import DIALECTS, Source
 from lumenfold.sqlcompat import rewrite
-from lumenfold.streaming import continuous, windows
+from lumenfold.streaming import asynchronous, continuous, windows
 
 
 @pytest.fixture
@@ -170,6 +170,8 @@ def test_jdbc(spark, tmp_path):
     assert rows(got) == [("n18",), ("n19",)]
     assert "PushedFilters: [*IsNotNull(ID), *GreaterThan(ID,17)]" in got._sc._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "simple")
     assert s.native(spark, "SELECT COUNT(*) AS N FROM PEOPLE WHERE ID <> $1", [3]).first().N == 19
+    keys = spark.createDataFrame([(3,), (3,), (5,), (None,), (99,)], "ID int")
+    assert rows(s.pushed_join(spark, keys, "PEOPLE", "ID", "STAGED").select("NAME")) == [("n3",), ("n5",)]
     assert s.parallel(spark, "PEOPLE", "ID", 0, 20, 4).rdd.getNumPartitions() == 4
     assert DIALECTS["sqlserver"].identifier("a]b") == "[a]]b]" and DIALECTS["mysql"].identifier("a`b") == "`a``b`"
     assert DIALECTS["ansi"].literal("it's") == "'it''s'"
@@ -198,3 +200,13 @@ def test_streams(spark, tmp_path):
     batch = spark.read.parquet(source)
     assert windows.sessions(batch, "ts", "1 hour", [], n=F.count("*")).count() == 2
     assert [(r, o, row and row.v) for r, o, row in continuous.rerun(lambda: batch.orderBy("v").limit(1), rounds=2)] == [(0, 0, 1), (0, 1, None), (1, 1, 1), (1, 2, None)]
+
+
+def test_asynchronous(spark):
+    seen, errors = [], []
+    assert asynchronous.submit(spark.range(5), lambda r: seen.append(r.id)).result(60) == 5 and seen == [0, 1, 2, 3, 4]
+    assert asynchronous.submit(spark.range(50), lambda r: r.id < 2).result(60) == 3
+    bad = spark.range(1).select(F.raise_error(F.lit("boom")).alias("x"))
+    assert asynchronous.submit(bad, seen.append, on_error=errors.append).result(60) == 0 and "boom" in str(errors[0])
+    with pytest.raises(Exception, match="boom"):
+        asynchronous.submit(bad, seen.append).result(60)
