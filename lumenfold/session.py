@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 
 
 def session(app: str = "lumenfold", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with the settings that the semantics here assume: ANSI arithmetic, UTC, adaptive execution."""
+    """A session with the settings that the semantics here assume: ANSI arithmetic, UTC, adaptive execution, recursion without end."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
@@ -18,6 +18,8 @@ def session(app: str = "lumenfold", master: str | None = None, **conf: str) -> S
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.cbo.enabled": "true",
         "spark.sql.cbo.joinReorder.enabled": "true",
+        "spark.sql.cteRecursionLevelLimit": "-1",
+        "spark.sql.cteRecursionRowLimit": "-1",
         "spark.ui.showConsoleProgress": "false",
         **{k.replace("__", "."): v for k, v in conf.items()},
     }.items():

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import udf
 from ..catalog import Catalog, Policy
 from ..context import SessionContext
 from ..engine import Engine
@@ -466,3 +467,16 @@ sql(
     "SELECT n_name AS nation, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey",
     "nation", "region",
 )
+
+
+sql(
+    "sql_recursive_distinct",
+    "WITH RECURSIVE g (k) AS (SELECT n_nationkey FROM nation WHERE n_nationkey < 2 UNION SELECT (k * 3 + 1) % 25 FROM g) SELECT k, n_name FROM g JOIN nation ON n_nationkey = k",
+    "WITH RECURSIVE g (k) AS (SELECT n_nationkey FROM nation WHERE n_nationkey < 2 UNION SELECT (k * 3 + 1) % 25 FROM g) SELECT k, n_name FROM g JOIN nation ON n_nationkey = k",
+    "nation",
+)
+
+
+@query("udaf_mergeable", "SELECT o_orderpriority, CAST(max(o_orderkey) - min(o_orderkey) AS BIGINT) AS spread FROM orders GROUP BY o_orderpriority")
+def udaf_mergeable(t: Tables) -> DataFrame:
+    return udf.mergeable(t.orders, ["o_orderpriority"], "o_orderkey", lambda s: (int(s.min()), int(s.max())), lambda states: (min(a for a, _ in states), max(b for _, b in states)), lambda state: state[1] - state[0], "long", "spread")

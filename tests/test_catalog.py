@@ -170,6 +170,7 @@ def test_jdbc(spark, tmp_path):
     assert rows(got) == [("n18",), ("n19",)]
     assert "PushedFilters: [*IsNotNull(ID), *GreaterThan(ID,17)]" in got._sc._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "simple")
     assert s.native(spark, "SELECT COUNT(*) AS N FROM PEOPLE WHERE ID <> $1", [3]).first().N == 19
+    assert s.table(spark, "PEOPLE", "use an index").where("ID = 4").count() == 1
     keys = spark.createDataFrame([(3,), (3,), (5,), (None,), (99,)], "ID int")
     assert rows(s.pushed_join(spark, keys, "PEOPLE", "ID", "STAGED").select("NAME")) == [("n3",), ("n5",)]
     assert s.parallel(spark, "PEOPLE", "ID", 0, 20, 4).rdd.getNumPartitions() == 4
@@ -188,6 +189,13 @@ def test_udfs(spark):
     assert spark.sql("SELECT plus_one(2) AS x").first().x == 3
 
 
+def test_mergeable_aggregate(spark):
+    df = spark.createDataFrame([(None if i % 5 == 0 else i % 5, i) for i in range(1000)], "g int, v int").repartition(7)
+    got = udf.mergeable(df, ["g"], "v", lambda s: (float(s.sum()), len(s)), lambda states: (sum(a for a, _ in states), sum(n for _, n in states)), lambda state: state[0] / state[1], "double")
+    assert rows(got) == rows(df.groupBy("g").agg(F.avg("v").alias("result")))
+    assert udf.mergeable(df.limit(0), ["g"], "v", sum, sum, float, "double").count() == 0
+
+
 def test_streams(spark, tmp_path):
     source, seen = f"file://{tmp_path}/in", []
     spark.createDataFrame([("2024-01-01 00:10:00", 1), ("2024-01-01 00:50:00", 2), ("2024-01-01 03:00:00", 3)], "ts string, v int").select(F.col("ts").cast("timestamp"), "v").write.parquet(source)
