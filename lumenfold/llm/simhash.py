@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import save
@@ -225,7 +225,7 @@ def name_groups(marked: DataFrame, link) -> DataFrame:
     distinct = save(marked.groupBy("node").agg(F.min("doc_id").alias("least")), "distinct")
     found = components(link(distinct)).withColumnRenamed("node", "member")
     rooted = save(distinct.join(found, F.col("node") == F.col("member"), "left").select("node", "least", F.coalesce("root", "node").alias("root")), "rooted")
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = save(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "named")  # so that a large component's join can be split
     by_node = save(rooted.join(named, "root").select("node", "component_id"), "by_node")
     return marked.select("doc_id", "node").join(by_node, "node").select("doc_id", "node", "component_id")
 
@@ -250,16 +250,20 @@ def _lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(np.cumsum([0, *map(len, rows)], dtype=np.int32), pa.array(np.concatenate(rows), kind))
 
 
-def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, bands: int = 25, rows: int = 5, hot: int = 16) -> DataFrame:
+def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, bands: int = 25, rows: int = 5, hot: int = 16, block: int = 1024) -> DataFrame:
     """(doc_id, node, component_id) by the similarity (Jaccard) of the sets of ``width``-word shingles.
 
+    SimHashes of the sets that differ in three bits or less propose pairs first; that alone reaches only the nearest copies.
     Two sets of similarity s agree in a MinHash value with probability s, so of ``bands`` bands of ``rows`` values they
     share one with probability 1 - (1 - s ** rows) ** bands: 0.99995 at 0.8, whatever the sets' sizes.  Sharing a band
     makes a pair a candidate; the exact similarity of its two sets (of 64-bit hashes of shingles) decides.  Equal sets are one node.
 
-    In a band value of ``hot`` nodes or less each node meets the smallest, then all that aren't yet connected meet.  In one
-    of more, each node first meets only the leader that its MinHash values resemble; then nodes that aren't yet connected meet those they resemble most, at last all
-    that could reach ``similarity`` (values that agree at least at 4.5 standard deviations below it).
+    Rounds keep large groups of copies from emitting all their pairs.  After the pairs of SimHashes, each node of a band
+    value of more than ``hot`` nodes meets one leader, of all bands the one that its MinHash values resemble most.  Then, in
+    band values that still hold several components, each node of ``hot`` or less meets the smallest.  At last nodes of
+    different components meet: all of ``hot`` or less, and of larger values those outside the main component with all that
+    could reach ``similarity`` (values that agree at least at 4.5 standard deviations below it), until one of each component
+    does.  Larger values are dealt into blocks of ``block`` nodes, so no task holds more, however large a group of copies is.
     """
     size = bands * rows
     floor = similarity - 4.5 * (similarity * (1 - similarity) / size) ** 0.5
@@ -269,7 +273,7 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, bands: int
             if batch.num_rows:
                 sets = [shingles(words_of(t.as_py()), width) for t in batch.column(1)]
                 node = np.array([xxhash.xxh64_intdigest(g.tobytes(), 42) for g in sets], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node), pa.array([len(g) for g in sets], pa.int32()), _lists([minima(g, size) for g in sets], pa.int32())], ["doc_id", "node", "n", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node), pa.array([len(g) for g in sets], pa.int32()), pa.array([of_set(g) for g in sets], pa.int64()), _lists([minima(g, size) for g in sets], pa.int32())], ["doc_id", "node", "n", "fp", "sketch"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -278,83 +282,174 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, bands: int
                 node = np.array([xxhash.xxh64_intdigest(g.tobytes(), 42) for g in sets], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(node), _lists([g.view(np.int64) for g in sets], pa.int64())], ["node", "own"])
 
-    marked = save(_id_text(docs).mapInArrow(run, "doc_id long, node long, n int, sketch array<int>"), "fingerprints")
-    nodes = save(marked.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
-    keyed = nodes.selectExpr("node", "n", f"explode(transform(sequence(0, {bands - 1}), b -> xxhash64(b, slice(sketch, b * {rows} + 1, {rows})))) AS key")
+    marked = save(_id_text(docs).mapInArrow(run, "doc_id long, node long, n int, fp long, sketch array<int>"), "fingerprints")
+    nodes = save(marked.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch")), "nodes")
+    keyed = nodes.selectExpr("node", "n", f"inline(transform(sequence(0, {bands - 1}), b -> struct(b AS band, xxhash64(b, slice(sketch, b * {rows} + 1, {rows})) AS key)))")
     shared = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     members = save(keyed.join(shared, "key"), "members")
-    ids = save(nodes.join(members.select("node").distinct(), "node", "left_semi").select(F.col("id").alias("doc_id")).distinct(), "ids")
+    found_by_simhash = save(_simhash_pairs(nodes, hot), "simhash")
+    paired = members.select("node").unionByName(found_by_simhash.select(F.col("u").alias("node"))).unionByName(found_by_simhash.select(F.col("v").alias("node"))).distinct()
+    ids = save(nodes.join(paired, "node", "left_semi").select(F.col("id").alias("doc_id")).distinct(), "ids")
     texts = _id_text(docs)
     texts = texts.join(ids, "doc_id", "left_semi").unionByName(texts.where("doc_id IS NULL"))
     sets = save(texts.mapInArrow(whole, "node long, own array<long>").groupBy("node").agg(F.first("own").alias("own")), "sets")
 
     def settle(pairs: DataFrame) -> DataFrame:
+        """The pairs whose sets are similar enough."""
+        pairs = save(pairs.distinct(), "pairs")
         for end in ("u", "v"):
             pairs = pairs.join(sets.select(F.col("node").alias(end), F.col("own").alias(f"s{end}")), end)
         return pairs.where(F.expr(f"size(array_intersect(su, sv)) / (size(su) + size(sv) - size(array_intersect(su, sv))) >= {similarity}")).select("u", "v")
 
+    def lead(crowd: DataFrame) -> DataFrame:
+        """Pairs (u, v) of a leader and a node.  Band values are led in blocks; the leaders of several blocks meet again, as long
+        as that makes them fewer."""
+        out, held = None, crowd.select("key", "node", "n", "sketch", "c")
+        while True:
+            rows = held.withColumn("block", _block_of("node", F.ceil(F.col("c") / block), 1))
+            met = save(rows.groupBy("key", "block").applyInArrow(_led(similarity), "key long, u long, v long, near double"), "led")
+            own = met.where("u <> v").select("u", "v", "near")
+            out = own if out is None else out.unionByName(own)
+            leaders = met.where("u = v").select("key", F.col("u").alias("node"))
+            many = save(held.where(F.col("c") > block).select("key", "c").distinct().join(leaders.groupBy("key").count(), "key").where("count > 1"), "many")
+            if many.isEmpty() or many.agg(F.sum("count") * 2 > F.sum("c")).first()[0]:
+                return out.groupBy("v").agg(F.max_by("u", F.struct("near", -F.col("u"))).alias("u")).select("u", "v")  # of a node's leaders the nearest
+            held = save(leaders.join(many.select("key", F.col("count").alias("c")), "key").join(nodes.select("node", "n", "sketch"), "node").select("key", "node", "n", "sketch", "c"), "leaders")
+
     def link(_: DataFrame) -> DataFrame:
         few = members.where(F.col("c") <= hot)
         crowd = save(members.where(F.col("c") > hot).join(nodes.select("node", "sketch"), "node"), "crowd")
-        star = few.join(few.groupBy("key").agg(F.min("node").alias("u")), "key").where("u < node").select("u", F.col("node").alias("v"))
-        first = crowd.withColumn("label", F.col("node")).groupBy("key").applyInArrow(_meet(similarity, similarity, 0), "u long, v long")
-        edges = save(settle(star.unionByName(first).distinct()), "links")
-        for most in (8, None):
+        edges = save(settle(found_by_simhash), "links")
+        for step in range(3):
             root = components(edges).withColumnRenamed("node", "m")
-            labelled = lambda df: df.join(root, F.col("node") == F.col("m"), "left").withColumn("label", F.coalesce("root", "node")).drop("m", "root")  # noqa: B023, E731
-            keep = lambda df: df.join(df.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("key"), "key", "left_semi")
-            apart = save(keep(labelled(crowd)), "apart")
-            more = apart.groupBy("key").applyInArrow(_meet(similarity, floor, most), "u long, v long")
-            if most:
-                rest = save(keep(labelled(few)), "rest")
-                a, b = (rest.selectExpr("key", f"node AS {end}", f"n AS n{end}", f"label AS l{end}") for end in ("u", "v"))
-                more = more.unionByName(a.join(b, "key").where(F.expr(f"u < v AND lu <> lv AND least(nu, nv) / greatest(nu, nv) >= {similarity}")).select("u", "v"))
-            elif apart.isEmpty():
-                break
-            edges = save(edges.unionByName(settle(more.distinct())), "links")
+
+            def apart(df: DataFrame, root=root) -> DataFrame:
+                """The rows, labelled by their components, of the band values that hold more than one component; with the label
+                that most nodes of the value have, and how many nodes and shingles the value and that label have."""
+                df = save(df.join(root, F.col("node") == F.col("m"), "left").withColumn("label", F.coalesce("root", "node")).drop("m", "root", "c"), "labelled")
+                by = F.struct("m", "label")
+                sizes = df.groupBy("key", "label").agg(F.count("*").alias("m"), F.sum("n").alias("w")).groupBy("key").agg(F.max_by("label", by).alias("main"), F.sum("m").alias("c"), F.max("m").alias("c_main"), F.sum("w").alias("w"), F.max_by("w", by).alias("w_main")).where("c > c_main")
+                return save(df.join(save(sizes, "sizes"), "key"), "apart")  # written, so that a hot value's join can be split
+
+            if step == 0:
+                left = apart(crowd)
+                if not left.isEmpty():
+                    edges = save(edges.unionByName(settle(lead(left))), "links")
+                continue
+            rest = apart(few)
+            ends = [rest.selectExpr("key", f"node AS {end}", f"n AS n{end}", f"label AS l{end}") for end in ("u", "v")]
+            if step == 1:  # each node with the smallest one
+                ends[0] = rest.groupBy("key").agg(F.min_by(F.struct("node", "n", "label"), "node").alias("one")).selectExpr("key", "one.node AS u", "one.n AS nu", "one.label AS lu")
+            more = settle(ends[0].join(ends[1], "key").where(F.expr(f"u < v AND lu <> lv AND least(nu, nv) / greatest(nu, nv) >= {similarity}")).select("u", "v"))
+            if step == 2:
+                more = more.unionByName(_met(apart(crowd).join(sets, "node"), similarity, floor, bands, block))
+            edges = save(edges.unionByName(more), "links")
         return edges
 
     return name_groups(marked, link)
 
 
-def _meet(similarity: float, floor: float, most: int | None):
-    """Pairs within one band value of nodes whose shares of agreeing MinHash values are ``floor`` or more: with ``most``
-    0 each node with the first leader that is so near, else nodes of different labels, each with its ``most`` nearest
-    ones (None: all)."""
+def of_set(grams: np.ndarray) -> int:
+    """The SimHash of a set of shingle hashes."""
+    ones = sum((counted(grams[at : at + 8192], 1)[0] for at in range(0, len(grams), 8192)), np.zeros(64, np.int64))
+    return int(np.packbits(2 * ones > len(grams), bitorder="little").view("<i8")[0])
+
+
+def _simhash_pairs(nodes: DataFrame, hot: int) -> DataFrame:
+    """Pairs (u, v) of nodes (node, fp) whose SimHashes differ in three bits or less, by multi-index hashing: nodes of one
+    fingerprint pair with the smallest of them, and these by the links of the fingerprints."""
+    first = save(nodes.groupBy("fp").agg(F.min("node").alias("u"), F.count("*").alias("c")), "fps")
+    same = nodes.join(first.where("c > 1"), "fp").where("node <> u").select("u", F.col("node").alias("v"))
+    near = links(first.select(F.col("fp").alias("node"), F.lit(0).alias("t"), "fp"), 2, 3, hot)
+    for end in ("u", "v"):
+        near = near.join(first.select(F.col("fp").alias(f"f{end}"), F.col("u").alias(f"n{end}")), F.col(end) == F.col(f"f{end}"))
+    return same.unionByName(near.select(F.least("nu", "nv").alias("u"), F.greatest("nu", "nv").alias("v")))
+
+
+def _block_of(node: str, blocks: Column, seed: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed), node), blocks.cast("long")).cast("int")
+
+
+def _sketches(group: pa.Table, mark: str = "") -> tuple[np.ndarray, ...]:
+    """(node, n, sketch) in order of the nodes, and that order."""
+    node = group.column(f"node{mark}").to_numpy()
+    order = np.argsort(node, kind="stable")
+    sketch = np.concatenate([c.flatten().to_numpy() for c in group.column(f"sketch{mark}").chunks]).reshape(len(node), -1)
+    return node[order], group.column(f"n{mark}").to_numpy()[order], sketch[order], order
+
+
+def _shares(sketch: np.ndarray, n: np.ndarray, one: np.ndarray, size: int, similarity: float) -> np.ndarray:
+    """Shares of agreeing MinHash values with one set; -1 where the sizes alone rule the similarity out."""
+    near = (sketch == one).mean(axis=1)
+    near[np.minimum(n, size) < similarity * np.maximum(n, size) - 1e-9] = -1
+    return near
+
+
+def _led(similarity: float):
+    """Rows (key, u, v, near) of a block of one band value: each node with the first leader that it resembles; leaders with
+    themselves."""
+
+    def lead(group: pa.Table) -> pa.Table:
+        node, n, sketch, _ = _sketches(group)
+        us, vs, ws, left = [], [], [], np.arange(len(node))
+        while len(left):
+            first = left[0]
+            shares = _shares(sketch[left], n[left], sketch[first], n[first], similarity)
+            near = shares >= similarity
+            near[0], shares[0] = True, 1.0
+            us.append(np.full(int(near.sum()), node[first]))
+            vs.append(node[left[near]])
+            ws.append(shares[near])
+            left = left[~near]
+        u, v, w = (np.concatenate(x) for x in (us, vs, ws))
+        return pa.table([pa.array(np.full(len(u), group.column("key")[0].as_py(), np.int64)), pa.array(u), pa.array(v), pa.array(w)], ["key", "u", "v", "near"])
+
+    return lead
 
-    def meet(group: pa.Table) -> pa.Table:
-        node, n, label = (group.column(c).to_numpy() for c in ("node", "n", "label"))
-        order = np.argsort(node)
-        sketch = np.concatenate([c.flatten().to_numpy() for c in group.column("sketch").chunks]).reshape(len(node), -1)[order]
-        node, n, label = node[order], n[order], label[order]
 
-        def share(i: int, others: np.ndarray) -> np.ndarray:
-            near = (sketch[others] == sketch[i]).mean(axis=1)
-            near[np.minimum(n[others], n[i]) < similarity * np.maximum(n[others], n[i]) - 1e-9] = -1
-            return near
+def _met(rows: DataFrame, similarity: float, floor: float, bands: int, block: int, shingles_at_once: int = 2_000_000) -> DataFrame:
+    """Links (u, v) within band values: each node outside the label that most have, and of each other label one node that is
+    similar enough, if there is any.  Nodes of which ``floor`` of the MinHash values agree are compared by their sets, the likest
+    first, in the first band that they share.  Both sides are dealt into blocks, so no group meets as a whole."""
+    blocks = lambda nodes, weight: F.greatest(F.ceil(nodes / block), F.ceil(weight / shingles_at_once)).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    outside, total = blocks(F.col("c") - F.col("c_main"), F.col("w") - F.col("w_main")), blocks(F.col("c"), F.col("w"))
+    a = rows.where("label <> main").select("key", _block_of("node", outside, 2).alias("ab"), spread(total).alias("bb"), "band", "node", "n", "label", "sketch", "own")
+    b = rows.select(F.col("key").alias("to"), spread(outside).alias("ab2"), _block_of("node", total, 3).alias("bb2"), F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("label").alias("label2"), F.col("sketch").alias("sketch2"), F.col("own").alias("own2"))
 
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         us, vs = [], []
-        if most == 0:
-            left = np.arange(len(node))
-            while len(left):
-                lead, left = left[0], left[1:]
-                near = share(lead, left) >= floor
-                us.append(np.full(int(near.sum()), lead))
-                vs.append(left[near])
-                left = left[~near]
-        else:
-            for i in range(len(node)):
-                others = np.flatnonzero(label != label[i])
-                near = share(i, others)
+        if left.num_rows and right.num_rows:
+            mine, size, one, at = _sketches(left)
+            node, n, sketch, order = _sketches(right, "2")
+            labels, label = left.column("label").to_numpy()[at], right.column("label2").to_numpy()[order]
+            my_sets, sets = _rows_of(left.column("own")), _rows_of(right.column("own2"))
+            band = left.column("band")[0].as_py()
+            for k in range(len(mine)):
+                other = np.flatnonzero(label != labels[k])
+                near = _shares(sketch[other], n[other], one[k], size[k], similarity)
                 close = np.flatnonzero(near >= floor)
-                if most is not None:
-                    close = close[np.argsort(-near[close], kind="stable")[:most]]
-                us.append(np.full(len(close), i))
-                vs.append(others[close])
-        u, v = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (us, vs))
-        return pa.table([pa.array(node[np.minimum(u, v)]), pa.array(node[np.maximum(u, v)])], ["u", "v"])
-
-    return meet
+                shared = (sketch[other[close]].reshape(len(close), bands, sketch.shape[1] // bands) == one[k].reshape(bands, -1)).all(axis=2)
+                close = close[shared.argmax(axis=1) == band]
+                own, done = my_sets(at[k]), set()
+                for j in other[close[np.argsort(-near[close], kind="stable")]].tolist():
+                    if label[j] not in done:
+                        both = len(np.intersect1d(own, sets(order[j]), assume_unique=True))
+                        if both >= similarity * (len(own) + n[j] - both):
+                            done.add(label[j])
+                            us.append(min(mine[k], node[j]))
+                            vs.append(max(mine[k], node[j]))
+        return pa.table([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+
+    return a.groupBy("key", "ab", "bb").cogroup(b.groupBy("to", "ab2", "bb2")).applyInArrow(meet, "u long, v long").distinct()
+
+
+def _rows_of(column: pa.ChunkedArray):
+    """The lists of a column as arrays, by number."""
+    whole = column.combine_chunks()
+    whole = whole.chunk(0) if isinstance(whole, pa.ChunkedArray) else whole
+    ends, values = whole.offsets.to_numpy(), whole.values.to_numpy()
+    return lambda k: values[ends[k] : ends[k + 1]]
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
