@@ -268,19 +268,21 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, bands: int
     size = bands * rows
     floor = similarity - 4.5 * (similarity * (1 - similarity) / size) ** 0.5
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[np.ndarray], np.ndarray]]:
+        """Ids, sets and nodes of a few rows at once."""
         for batch in batches:
-            if batch.num_rows:
-                sets = [shingles(words_of(t.as_py()), width) for t in batch.column(1)]
-                node = np.array([xxhash.xxh64_intdigest(g.tobytes(), 42) for g in sets], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node), pa.array([len(g) for g in sets], pa.int32()), pa.array([of_set(g) for g in sets], pa.int64()), _lists([minima(g, size) for g in sets], pa.int32())], ["doc_id", "node", "n", "fp", "sketch"])
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                sets = [shingles(words_of(t.as_py()), width) for t in part.column(1)]
+                yield part.column(0), sets, np.array([xxhash.xxh64_intdigest(g.tobytes(), 42) for g in sets], np.uint64).view(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, sets, node in parts(batches):
+            yield pa.RecordBatch.from_arrays([ids, pa.array(node), pa.array([len(g) for g in sets], pa.int32()), pa.array([of_set(g) for g in sets], pa.int64()), _lists([minima(g, size) for g in sets], pa.int32())], ["doc_id", "node", "n", "fp", "sketch"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                sets = [shingles(words_of(t.as_py()), width) for t in batch.column(1)]
-                node = np.array([xxhash.xxh64_intdigest(g.tobytes(), 42) for g in sets], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(node), _lists([g.view(np.int64) for g in sets], pa.int64())], ["node", "own"])
+        for _, sets, node in parts(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(node), _lists([g.view(np.int64) for g in sets], pa.int64())], ["node", "own"])
 
     marked = save(_id_text(docs).mapInArrow(run, "doc_id long, node long, n int, fp long, sketch array<int>"), "fingerprints")
     nodes = save(marked.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch")), "nodes")
