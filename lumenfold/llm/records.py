@@ -92,13 +92,15 @@ class Bounds(NamedTuple):
         return low + turn % np.maximum(1, high - low)
 
 
-def _bounds(rows: DataFrame, part_bytes: int, most_parts: int = 50_000, sample: int = 1_000_000) -> tuple[Bounds, int]:
-    """Bounds of partitions of about ``part_bytes`` of text each, from a sample of keys of bounded size, and their number."""
+def _bounds(rows: DataFrame, part_bytes: int, most_parts: int = 50_000, sample: int = 1_000_000) -> tuple[Bounds, int, int]:
+    """Bounds of partitions of about ``part_bytes`` of text each, from a sample of keys of bounded size, their number, and in
+    how many tasks the rows are read."""
     sized = rows.select("doc_id", F.crc32(F.col("text").cast("binary")).alias("mark"), (F.octet_length("text") + 16).alias("size"))
-    n, total = sized.agg(F.count("*"), F.coalesce(F.sum(F.coalesce("size", F.lit(16))), F.lit(0))).first()
+    each = sized.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n"), F.sum(F.coalesce("size", F.lit(16))).alias("size"))
+    n, total, tasks = each.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     parts = int(max(1, min(most_parts, -(-total // part_bytes))))
     if parts == 1:
-        return Bounds(np.zeros(0, "S18")), 1
+        return Bounds(np.zeros(0, "S18")), 1, tasks
     share = min(1.0, min(sample, 64 * parts) / n)
     drawn = sized.where(F.rand(11) < share).toArrow()  # so many rows at most, but for chance
     null = drawn["doc_id"].is_null().to_numpy()
@@ -106,7 +108,7 @@ def _bounds(rows: DataFrame, part_bytes: int, most_parts: int = 50_000, sample:
     order = np.argsort(key, kind="stable")
     reach = np.cumsum(drawn["size"].fill_null(16).to_numpy()[order])
     at = np.searchsorted(reach, reach[-1] * np.arange(1, parts) / parts) if len(reach) else np.zeros(0, np.int64)
-    return Bounds(key[order][at]), len(at) + 1
+    return Bounds(key[order][at]), len(at) + 1, tasks
 
 
 def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, chunk_bytes: int = 4 << 20, part_bytes: int = 24 << 20) -> None:
@@ -116,7 +118,10 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, c
     from the ids and checksums, so nothing is encoded twice.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    bounds, parts = _bounds(rows, part_bytes)
+    bounds, parts, tasks = _bounds(rows, part_bytes)
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    if tasks < cores:  # a file of few row groups
+        rows = rows.repartition(cores)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end, seen = encoder(tokenizer), struct.pack("<I", end_id), 0
