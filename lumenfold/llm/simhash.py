@@ -32,6 +32,14 @@ from pyspark.sql import functions as F
 from .common import save
 
 LOWER = bytes(range(256)).lower()
+#: Rows that the driver may gather for a broadcast.
+MOST = 100_000
+
+
+def not_gathered(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` for a join; of more than ``MOST`` rows it isn't broadcast.  Spark would decide by a written table's compressed
+    bytes, not by what an expansion or the rows' hash table takes in the driver."""
+    return df.hint("merge") if rows > MOST else df
 
 
 def counted(hashes: np.ndarray, copies: int) -> tuple[np.ndarray, int]:
@@ -122,8 +130,9 @@ def links(nodes: DataFrame, segments: int = 2, radius: int = 3, hot: int = 256,
         index = index.join(crowded, ["seg", "key"], "left_anti")  # a probe without index rows meets nothing
     a, b = index.select("seg", "key", F.col("node").alias("u"), F.col("fp").alias("fu")), lambda x: x.select("seg", "key", F.col("node").alias("v"), F.col("fp").alias("fv"))
     near = F.expr(f"u <> v AND bit_count(fu ^ fv) <= {radius}")
-    same = a.join(b(index), ["seg", "key"]).where(F.expr("u < v") & near)
-    apart = a.join(b(probes), ["seg", "key"]).where(near)
+    # each node has some 30 probes, and Spark estimates them as the nodes' compressed bytes: never broadcast them
+    same = a.join(b(index).hint("merge"), ["seg", "key"]).where(F.expr("u < v") & near)
+    apart = a.join(b(probes).hint("merge"), ["seg", "key"]).where(near)
     edges = same.select("u", "v").unionByName(apart.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))).distinct()
     if proof is not None:
         edges = save(edges, "candidates")
@@ -293,12 +302,13 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, bands: int
     paired = members.select("node").unionByName(found_by_simhash.select(F.col("u").alias("node"))).unionByName(found_by_simhash.select(F.col("v").alias("node"))).distinct()
     ids = save(nodes.join(paired, "node", "left_semi").select(F.col("id").alias("doc_id")).distinct(), "ids")
     texts = _id_text(docs)
-    texts = texts.join(ids, "doc_id", "left_semi").unionByName(texts.where("doc_id IS NULL"))
+    texts = texts.join(not_gathered(ids, ids.count()), "doc_id", "left_semi").unionByName(texts.where("doc_id IS NULL"))
     sets = save(texts.mapInArrow(whole, "node long, own array<long>").groupBy("node").agg(F.first("own").alias("own")), "sets")
 
     def settle(pairs: DataFrame) -> DataFrame:
         """The pairs whose sets are similar enough."""
         pairs = save(pairs.distinct(), "pairs")
+        pairs = not_gathered(pairs, pairs.count())
         for end in ("u", "v"):
             pairs = pairs.join(sets.select(F.col("node").alias(end), F.col("own").alias(f"s{end}")), end)
         return pairs.where(F.expr(f"size(array_intersect(su, sv)) / (size(su) + size(sv) - size(array_intersect(su, sv))) >= {similarity}")).select("u", "v")
@@ -331,7 +341,8 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, bands: int
                 df = save(df.join(root, F.col("node") == F.col("m"), "left").withColumn("label", F.coalesce("root", "node")).drop("m", "root", "c"), "labelled")
                 by = F.struct("m", "label")
                 sizes = df.groupBy("key", "label").agg(F.count("*").alias("m"), F.sum("n").alias("w")).groupBy("key").agg(F.max_by("label", by).alias("main"), F.sum("m").alias("c"), F.max("m").alias("c_main"), F.sum("w").alias("w"), F.max_by("w", by).alias("w_main")).where("c > c_main")
-                return save(df.join(save(sizes, "sizes"), "key"), "apart")  # written, so that a hot value's join can be split
+                sizes = save(sizes, "sizes")
+                return save(df.join(not_gathered(sizes, sizes.count()), "key"), "apart")  # written, so that a hot value's join can be split
 
             if step == 0:
                 left = apart(crowd)
@@ -342,7 +353,7 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, bands: int
             ends = [rest.selectExpr("key", f"node AS {end}", f"n AS n{end}", f"label AS l{end}") for end in ("u", "v")]
             if step == 1:  # each node with the smallest one
                 ends[0] = rest.groupBy("key").agg(F.min_by(F.struct("node", "n", "label"), "node").alias("one")).selectExpr("key", "one.node AS u", "one.n AS nu", "one.label AS lu")
-            more = settle(ends[0].join(ends[1], "key").where(F.expr(f"u < v AND lu <> lv AND least(nu, nv) / greatest(nu, nv) >= {similarity}")).select("u", "v"))
+            more = settle(ends[0].join(not_gathered(ends[1], rest.count()), "key").where(F.expr(f"u < v AND lu <> lv AND least(nu, nv) / greatest(nu, nv) >= {similarity}")).select("u", "v"))
             if step == 2:
                 more = more.unionByName(_met(apart(crowd).join(sets, "node"), similarity, floor, bands, block))
             edges = save(edges.unionByName(more), "links")
@@ -361,10 +372,11 @@ def _simhash_pairs(nodes: DataFrame, hot: int) -> DataFrame:
     """Pairs (u, v) of nodes (node, fp) whose SimHashes differ in three bits or less, by multi-index hashing: nodes of one
     fingerprint pair with the smallest of them, and these by the links of the fingerprints."""
     first = save(nodes.groupBy("fp").agg(F.min("node").alias("u"), F.count("*").alias("c")), "fps")
-    same = nodes.join(first.where("c > 1"), "fp").where("node <> u").select("u", F.col("node").alias("v"))
+    n = first.count()
+    same = nodes.join(not_gathered(first.where("c > 1"), n), "fp").where("node <> u").select("u", F.col("node").alias("v"))
     near = links(first.select(F.col("fp").alias("node"), F.lit(0).alias("t"), "fp"), 2, 3, hot)
     for end in ("u", "v"):
-        near = near.join(first.select(F.col("fp").alias(f"f{end}"), F.col("u").alias(f"n{end}")), F.col(end) == F.col(f"f{end}"))
+        near = near.join(not_gathered(first.select(F.col("fp").alias(f"f{end}"), F.col("u").alias(f"n{end}")), n), F.col(end) == F.col(f"f{end}"))
     return same.unionByName(near.select(F.least("nu", "nv").alias("u"), F.greatest("nu", "nv").alias("v")))
 
 
@@ -459,7 +471,7 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     one; rows without an id can't be told apart and all stay."""
     found = save(similar(docs, **how), "duplicates")
     kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    out = docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    out = docs.join(not_gathered(kept, found.count()), "doc_id", "left_semi").select(docs.columns)
     if not found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
         out = out.dropDuplicates(["doc_id"])
     return out.unionByName(docs.where("doc_id IS NULL")).select(docs.columns)

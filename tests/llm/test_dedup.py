@@ -138,3 +138,8 @@ def test_similarity_is_exact(spark, hot):
     label = closed(np.arange(len(rows)), near)
     got = simhash.similar(spark.createDataFrame(rows, "doc_id long, text string"), hot=hot)
     assert same(got, "doc_id", "component_id") == sorted(((k, int(own)) for k, own in enumerate(label)), key=repr)
+
+
+def test_probes_are_never_broadcast(spark):
+    nodes = spark.range(50).selectExpr("id * 7919 AS node", "0 AS t", "id * 7919 AS fp")
+    assert "BroadcastHashJoin" not in simhash.links(nodes)._jdf.queryExecution().executedPlan().toString()
