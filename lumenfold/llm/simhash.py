@@ -212,15 +212,16 @@ def components(edges: DataFrame) -> DataFrame:
     while seen[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = save(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "least")
-        large = save(both.where("v > u").join(least, "u").select(F.col("m").alias("u"), "v").where("u < v").distinct(), "large")
+        large = save(both.where("v > u").join(not_gathered(least, 2 * seen[0]), "u").select(F.col("m").alias("u"), "v").where("u < v").distinct(), "large")
         least = save(large.groupBy("v").agg(F.min("u").alias("m")), "least")
-        small = large.join(least, "v").select("u", "v", "m")
+        small = large.join(not_gathered(least, 2 * seen[0]), "v").select("u", "v", "m")
         edges = save(small.select(F.col("m").alias("u"), F.col("u").alias("v")).unionByName(least.select(F.col("m").alias("u"), "v")).where("u < v").distinct(), "edges")
         now = mark(edges)
         if now == seen:
             break
         seen = now
-    return edges.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("root")).unionByName(edges.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
+    found = edges.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("root")).unionByName(edges.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
+    return not_gathered(found, 2 * seen[0])
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, hot: int = 256) -> DataFrame:
@@ -232,11 +233,12 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, hot: int =
 def name_groups(marked: DataFrame, link) -> DataFrame:
     """(doc_id, node, component_id) for rows (doc_id, node), given the edges of the distinct nodes."""
     distinct = save(marked.groupBy("node").agg(F.min("doc_id").alias("least")), "distinct")
+    n = distinct.count()
     found = components(link(distinct)).withColumnRenamed("node", "member")
     rooted = save(distinct.join(found, F.col("node") == F.col("member"), "left").select("node", "least", F.coalesce("root", "node").alias("root")), "rooted")
     named = save(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "named")  # so that a large component's join can be split
-    by_node = save(rooted.join(named, "root").select("node", "component_id"), "by_node")
-    return marked.select("doc_id", "node").join(by_node, "node").select("doc_id", "node", "component_id")
+    by_node = save(rooted.join(not_gathered(named, n), "root").select("node", "component_id"), "by_node")
+    return marked.select("doc_id", "node").join(not_gathered(by_node, n), "node").select("doc_id", "node", "component_id")
 
 
 def shingles(words: list[bytes], width: int) -> np.ndarray:

@@ -143,3 +143,13 @@ def test_similarity_is_exact(spark, hot):
 def test_probes_are_never_broadcast(spark):
     nodes = spark.range(50).selectExpr("id * 7919 AS node", "0 AS t", "id * 7919 AS fp")
     assert "BroadcastHashJoin" not in simhash.links(nodes)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tables_of_nodes_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "MOST", 3, raising=False)
+    plans, save = [], simhash.save
+    monkeypatch.setattr(simhash, "save", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or save(df, name))
+    marked = spark.range(40).selectExpr("id AS doc_id", "id AS node")
+    out = simhash.name_groups(marked, lambda _: spark.range(39).selectExpr("id AS u", "id + 1 AS v"))
+    assert {r.component_id for r in out.collect()} == {0}
+    assert "BroadcastHashJoin" not in "".join([*plans, out._jdf.queryExecution().executedPlan().toString()])
