@@ -33,6 +33,9 @@ class _Words(dict):
         super().__init__()
         self.encode, self.bound, self.old = encode, bound, {}
 
+    def known(self, word: str) -> bytes | None:
+        return self.get(word) or self.old.get(word)
+
     def __missing__(self, word: str) -> bytes:
         out = self.old.get(word)
         if out is None:
@@ -60,8 +63,11 @@ class WordEncoder:
         return _little(self.library.encode(word, add_special_tokens=False).ids)
 
     def _word(self, word: str) -> bytes:
+        plain = word.isascii() and word.isprintable()  # those bytes are written as themselves
+        if plain and not word[-1].isalpha() and (known := self.words.known(word[:-1])) and word[:-1].isalpha():
+            return known + self.words[word[-1]]  # the pattern cuts a stop from its word
         parts = (word,) if word.isalpha() else _PARTS.findall(word)
-        if not (word.isascii() and word.isprintable()):  # those bytes are written as themselves
+        if not plain:
             parts = [p.encode().decode("latin-1").translate(self.alphabet) for p in parts]
         tokenize = self.model.tokenize
         return _little([t.id for p in parts for t in tokenize(p)])
@@ -73,9 +79,10 @@ class WordEncoder:
             text.encode("latin-1")
         except UnicodeEncodeError:
             return self._whole(text) if self._odd(text) else b"".join(map(self.exact.__getitem__, text.split()))
-        if self._odd(text) or any(s in text.lower() for s in self.special):
+        low = text.lower()
+        if self._odd(text) or any(s in low for s in self.special):
             return self._whole(text)
-        return b"".join(map(self.words.__getitem__, text.lower().split()))
+        return b"".join(map(self.words.__getitem__, low.split()))
 
     @staticmethod
     def _odd(text: str) -> bool:

@@ -29,6 +29,21 @@ def test_encoder_equals_library(text):
     assert np.frombuffer(ENCODER.bytes_of(text), "<u4").tolist() == ids_of(text)
 
 
+def test_a_stop_costs_no_second_tokenization():
+    class Counted:
+        seen = []
+
+        def tokenize(self, part):
+            self.seen.append(part)
+            return LIBRARY.model.tokenize(part)
+
+    encoder = WordEncoder(PATH)
+    encoder.model = Counted()
+    text = "Wherever wherever, wherever. wherever; wherever' wherever9 it's"
+    assert np.frombuffer(encoder.bytes_of(text), "<u4").tolist() == ids_of(text)
+    assert Counted.seen.count("wherever") == 1
+
+
 def test_encoder_special_strings():
     for text in ("<|endoftext|>", "a<|startoftext|>b", "x <|EndOfText|> y"):
         assert np.frombuffer(ENCODER.bytes_of(text), "<u4").tolist() == ids_of(text)
