@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import random as _random
+from collections import Counter
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -75,20 +76,19 @@ def levenshtein_distance(a, b) -> Column:
     return F.when(longest == 0, F.lit(0.0)).otherwise(F.levenshtein(col(a), col(b)) / F.when(longest > 0, longest))
 
 
+def cosine(a: str, b: str) -> float:
+    p, q = Counter(a.split()), Counter(b.split())
+    if not p or not q:
+        return 0.0 if not p and not q else 1.0
+    return 1 - sum(n * q[w] for w, n in p.items()) / math.sqrt(sum(n * n for n in p.values()) * sum(n * n for n in q.values()))
+
+
 def cosine_distance(a, b) -> Column:
     """One minus the cosine of the word counts."""
 
     @F.pandas_udf("double")
     def distance(a: pd.Series, b: pd.Series) -> pd.Series:
-        def one(x: str | None, y: str | None) -> float | None:
-            if x is None or y is None:
-                return None
-            p, q = (pd.Series(t.split()).value_counts() for t in (x, y))
-            if p.empty or q.empty:
-                return 0.0 if p.empty and q.empty else 1.0
-            return float(1 - (p * q).dropna().sum() / np.sqrt((p**2).sum() * (q**2).sum()))
-
-        return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
+        return pd.Series([None if x is None or y is None else cosine(x, y) for x, y in zip(a, b)], dtype="float64")
 
     return distance(col(a), col(b))
 
@@ -101,10 +101,12 @@ def jaro_winkler(x: str, y: str) -> float:
     reach = max(len(x), len(y)) // 2 - 1
     left, right = [False] * len(x), [False] * len(y)
     for i, c in enumerate(x):
-        for j in range(max(0, i - reach), min(len(y), i + reach + 1)):
-            if not right[j] and y[j] == c:
-                left[i] = right[j] = True
-                break
+        last = max(0, i + reach + 1)
+        j = y.find(c, max(0, i - reach), last)
+        while j >= 0 and right[j]:
+            j = y.find(c, j + 1, last)
+        if j >= 0:
+            left[i] = right[j] = True
     p, q = [c for c, m in zip(x, left) if m], [c for c, m in zip(y, right) if m]
     if not p:
         return 0.0

@@ -373,17 +373,10 @@ def _each(f: Callable, returns: str) -> Callable:
     return make
 
 
-def _cosine(a: str, b: str) -> float:
-    p, q = (pd.Series(t.split(), dtype=object).value_counts() for t in (a, b))
-    if p.empty or q.empty:
-        return 0.0 if p.empty and q.empty else 1.0
-    return float(1 - (p * q).dropna().sum() / ((p**2).sum() * (q**2).sum()) ** 0.5)
-
-
 #: Name: what makes the UDF.
 UDFS: dict[str, Callable] = {
     "unescape": _each(strings.unescape_text, "string"),
-    "cosinedistance": _each(_cosine, "double"),
+    "cosinedistance": _each(quality.cosine, "double"),
     "jarowinklerdistance": _each(lambda a, b: 1 - quality.jaro_winkler(a, b), "double"),
     "jsonpathvalue": _each(lambda doc, path, leaf=False: js.path_value(doc, path, bool(leaf)), "string"),
     "jsonquery": _each(lambda doc, path, leaf=False: js.path_value(doc, path, bool(leaf), True), "string"),
