@@ -8,6 +8,7 @@ from decimal import ROUND_HALF_UP, Decimal
 from typing import NamedTuple
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,6 +53,30 @@ def round_(x, places: int) -> Column:
     return exact(col(x).cast("double"))
 
 
+def round_scaled(x, places: int) -> Column:
+    """Rounds as C programs and most databases do: the value times a power of ten goes to the nearest whole number, half away
+    from zero, and is divided again.  What that would take beyond the largest double stays as it is."""
+    x, scale = col(x), F.lit(float(10**places))
+    whole = F.round(x * scale, 0) / scale
+    return F.when(F.isnan(whole) | (F.abs(whole) == float("inf")), x).otherwise(whole)
+
+
+def exp(x) -> Column:
+    """The C library's exponential.  Java's is off by a unit in the last place more often, which shows in large values."""
+
+    @F.arrow_udf("double")
+    def run(a: pa.Array) -> pa.Array:
+        def one(v: float | None) -> float | None:
+            try:
+                return None if v is None else math.exp(v)
+            except OverflowError:
+                return math.inf
+
+        return pa.array([one(v) for v in a.to_pylist()], pa.float64())
+
+    return run(col(x).cast("double"))
+
+
 def power(x, y) -> Column:
     return F.pow(col(x), col(y))
 

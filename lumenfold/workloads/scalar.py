@@ -42,7 +42,7 @@ def fn_string(t: Tables) -> DataFrame:
 def fn_math(t: Tables) -> DataFrame:
     k, p = F.col("o_orderkey"), F.col("o_totalprice")
     return t.orders.select(
-        "o_orderkey", num.divide(k, F.lit(7), "int").alias("int_div"), (k % 7).alias("md"), (-k % 7).alias("neg_md"), F.abs(p - 100000).alias("ab"), num.ceiling(p).alias("up"), num.floor(p).alias("down"), F.round(F.exp(k / 100000.0), 6).alias("ex"),
+        "o_orderkey", num.divide(k, F.lit(7), "int").alias("int_div"), (k % 7).alias("md"), (-k % 7).alias("neg_md"), F.abs(p - 100000).alias("ab"), num.ceiling(p).alias("up"), num.floor(p).alias("down"), num.round_scaled(num.exp(k / 100000.0), 6).alias("ex"),
         F.round(F.ln(p), 6).alias("lg"), F.round(num.log10(p), 6).alias("lg10"), F.round(F.sqrt(p), 6).alias("sq"), F.round(num.power(k, 0.5), 6).alias("pw"), num.sign(p - 100000).alias("sg"), F.round(F.sin(k) + F.cos(k), 6).alias("sc"),
         F.round(F.atan2(k, F.lit(3)), 6).alias("at"), F.round(F.degrees(F.lit(1.5)) + F.radians(F.lit(90.0)) + F.pi(), 6).alias("ang"), F.round(F.cot(k), 4).alias("ct"),
         num.bitand(k, F.lit(255)).alias("ba"), num.bitor(k, F.lit(3)).alias("bo"), num.bitxor(k, F.lit(85)).alias("bx"), num.bitnot(k).alias("bn"),
