@@ -114,8 +114,7 @@ def win_frame_rows(t: Tables) -> DataFrame:
 
 @query("win_frame_range", "SELECT o_orderkey, count(*) OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate) AS upto, count(*) OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS from_here FROM orders")
 def win_frame_range(t: Tables) -> DataFrame:
-    w = Window.partitionBy("o_orderpriority").orderBy("o_orderdate")
-    return t.orders.select("o_orderkey", F.count("*").over(w).alias("upto"), F.count("*").over(w.rangeBetween(0, Window.unboundedFollowing)).alias("from_here"))
+    return win.range_counts(t.orders, ["o_orderpriority"], "o_orderdate", "upto", "from_here").select("o_orderkey", "upto", "from_here")
 
 
 @query("win_count_distinct", "SELECT event_id, count(DISTINCT event_type) OVER (PARTITION BY user_id) AS kinds FROM events")
