@@ -32,14 +32,15 @@ def dependent_join(independent: DataFrame, dependent: DataFrame, key: str, how:
 
 def union_partition_join(left: Sequence[tuple[object, DataFrame]], right: Sequence[tuple[object, DataFrame]], on: Sequence[str], how: str = "inner") -> DataFrame:
     """(a1 + a2) join (b1 + b2) where each branch is known to hold one value of the join key's partition column: only
-    branches of one value meet, so each join is smaller and is planned on its own."""
+    branches of one value meet, so each join is smaller and is planned on its own.  As one value would go to one task, right
+    branches of few rows are broadcast, and larger ones are repeated for the salts of the left side."""
     other = {}
     for value, df in right:
         other[value] = other[value].unionByName(df) if value in other else df
     parts = []
     for value, df in left:
         if value in other:
-            parts.append(df.join(other[value], list(on), how))
+            parts.append(_one_value_join(df, other[value], on, how))
         elif how in ("left", "left_outer", "left_anti"):
             empty = right[0][1].where(F.lit(False))
             parts.append(df.join(empty, list(on), how))
@@ -51,6 +52,14 @@ def union_partition_join(left: Sequence[tuple[object, DataFrame]], right: Sequen
     return out
 
 
+def _one_value_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str, most_rows: int = 100_000) -> DataFrame:
+    if how not in ("inner", "left", "left_outer", "left_semi", "left_anti"):
+        return left.join(right, list(on), how)
+    if right.limit(most_rows + 1).count() <= most_rows:
+        return left.join(F.broadcast(right), list(on), how)
+    return salted_join(left, right, on, how=how)
+
+
 def lateral_topk(left: DataFrame, right: DataFrame, on: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
     """For each left row the first k of its right rows: LATERAL (SELECT ... ORDER BY ... LIMIT k) without a nested loop.
     The ranks are cut before the join, and Spark limits each group before it shuffles."""
@@ -67,10 +76,10 @@ def optional_join(left: DataFrame, right: DataFrame, on: Sequence[str], used: Se
     return left.join(right, list(on), how).select(*used)
 
 
-def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], parts: int = 16) -> DataFrame:
-    """Inner join for keys that hold much of the left side: its rows are dealt over ``parts`` salts, the right side is
-    repeated for each.  AQE splits skewed partitions of plain joins by itself; this is for plans where it can't."""
+def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], parts: int = 16, how: str = "inner") -> DataFrame:
+    """Inner, left, semi or anti join for keys that hold much of the left side: its rows are dealt over ``parts`` salts, the
+    right side is repeated for each.  AQE splits skewed partitions of plain joins by itself; this is for plans where it can't."""
     salt = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
     name = free_name("salt", left, right)
     dealt = left.withColumn(name, F.pmod(F.xxhash64(*[c for c in left.columns]), F.lit(parts)).cast("int"))
-    return dealt.join(right.withColumn(name, salt), [*on, name]).drop(name)
+    return dealt.join(right.withColumn(name, salt), [*on, name], how).drop(name)

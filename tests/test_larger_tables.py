@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from lumenfold.functions import math as num
+from lumenfold.operators import joins
 
 from .test_contract import plain
 
@@ -49,3 +50,15 @@ def test_range_counts_without_a_pass_for_each_row(agrees):
     began = time.time()
     agrees("win_frame_range", orders=pa.table({"o_orderkey": range(n), "o_orderpriority": ["low" if k % 9 else None for k in range(n)], "o_orderdate": days}))
     assert time.time() - began < 60
+
+
+def test_one_value_joins_spread(spark, agrees):
+    n = 5000
+    lines = pa.table({"l_returnflag": ["ANR"[k % 3] for k in range(n)], "l_extendedprice": [k / 4 for k in range(n)]})
+    plan = agrees("union_partition_join", lineitem=lines)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("rightHint=(strategy=broadcast)") == 2
+    left = spark.range(40).selectExpr("'A' AS f", "id % 7 AS k", "id AS x")
+    right = spark.range(6).selectExpr("'A' AS f", "id AS k", "id * 10 AS y")
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        want = sorted(left.join(right, ["f", "k"], how).collect(), key=str)
+        assert [sorted(joins._one_value_join(left, right, ["f", "k"], how, most).collect(), key=str) for most in (3, 10)] == [want] * 2
