@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import joins, predicates, setops
+from ..plans import rewrites
 from .registry import Tables, query
 
 
@@ -148,7 +149,7 @@ def cross_join(t: Tables) -> DataFrame:
 
 @query("natural_using", "SELECT c_nationkey AS nationkey, count(*) AS n FROM customer JOIN (SELECT s_nationkey AS c_nationkey FROM supplier) USING (c_nationkey) GROUP BY c_nationkey")
 def natural_using(t: Tables) -> DataFrame:
-    return t.customer.join(t.supplier.select(F.col("s_nationkey").alias("c_nationkey")), "c_nationkey").groupBy(F.col("c_nationkey").alias("nationkey")).agg(F.count("*").alias("n"))
+    return rewrites.count_before_join(t.customer, t.supplier.select(F.col("s_nationkey").alias("c_nationkey")), ["c_nationkey"], "n").withColumnRenamed("c_nationkey", "nationkey")
 
 
 @query("lateral_topk", "SELECT n_nationkey, k.c_custkey, k.c_acctbal FROM nation, LATERAL (SELECT c_custkey, c_acctbal FROM customer WHERE c_nationkey = n_nationkey ORDER BY c_acctbal DESC, c_custkey LIMIT 3) k")

@@ -62,3 +62,9 @@ def test_one_value_joins_spread(spark, agrees):
     for how in ("inner", "left", "left_semi", "left_anti"):
         want = sorted(left.join(right, ["f", "k"], how).collect(), key=str)
         assert [sorted(joins._one_value_join(left, right, ["f", "k"], how, most).collect(), key=str) for most in (3, 10)] == [want] * 2
+
+
+def test_counts_of_matches_without_making_them(agrees):
+    n = 100_000  # 10,000,000,000 matches
+    nation = pa.array([7] * (n - 2) + [8, None], pa.int32())
+    agrees("natural_using", customer=pa.table({"c_custkey": range(n), "c_nationkey": nation}), supplier=pa.table({"s_suppkey": range(n), "s_nationkey": nation}))
