@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from lumenfold.functions import math as num
 from lumenfold.operators import joins
+from lumenfold.sqlcompat import limited_windows
 
 from .test_contract import plain
 
@@ -68,3 +69,16 @@ def test_counts_of_matches_without_making_them(agrees):
     n = 100_000  # 10,000,000,000 matches
     nation = pa.array([7] * (n - 2) + [8, None], pa.int32())
     agrees("natural_using", customer=pa.table({"c_custkey": range(n), "c_nationkey": nation}), supplier=pa.table({"s_suppkey": range(n), "s_nationkey": nation}))
+
+
+def test_limit_reaches_running_windows(spark):
+    rows = spark.createDataFrame([(None if k % 50 == 0 else k * 7919 % 1000 // 3, k, k % 4) for k in range(2000)], "k int, v int, g int")
+    rows.createOrReplaceTempView("limited_windows_rows")
+    text = "SELECT v, k, sum(v) OVER (ORDER BY k) AS run, count(*) OVER (PARTITION BY g ORDER BY k ASC) + 1 AS n FROM limited_windows_rows WHERE v > 3 OR v = 1 ORDER BY k, v LIMIT {} OFFSET 2"
+    for n in (20, 55, 5000):
+        plain_text = text.format(n)
+        less = limited_windows(plain_text)
+        assert less != plain_text and spark.sql(less).collect() == spark.sql(plain_text).collect()
+    for old, new in (("sum(", "lead("), ("ORDER BY k)", "ORDER BY k DESC)"), ("ORDER BY k, v", "ORDER BY k DESC, v"), ("v > 3", "v > rand()"), ("v, k,", "v, g AS k,"), ("ORDER BY k)", "ORDER BY k ROWS 1 PRECEDING)"), (" LIMIT {} OFFSET 2", "")):
+        other = text.replace(old, new).format(20)
+        assert other != text.format(20) and limited_windows(other) == other
