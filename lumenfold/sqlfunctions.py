@@ -361,12 +361,17 @@ def expand(text: str, context: object = None) -> str:
 
 
 def _each(f: Callable, returns: str) -> Callable:
-    """A UDF of rows; any null gives null."""
+    """A UDF of rows; any null gives null.  Equal arguments within a batch are taken once."""
 
     def make():
         @F.pandas_udf(returns)
         def run(*series: pd.Series) -> pd.Series:
-            return pd.Series([None if any(v is None or v != v for v in row) else f(*row) for row in zip(*series)], dtype=object)
+            seen, out = {}, []
+            for row in zip(*series):
+                if row not in seen:
+                    seen[row] = None if any(v is None or v != v for v in row) else f(*row)
+                out.append(seen[row])
+            return pd.Series(out, dtype=object)
 
         return run
 
